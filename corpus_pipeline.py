@@ -1,5 +1,48 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: language ID, exact dedup, near dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet in the shared folder and read again as the next stage's ``docs``. All but the
+last return the columns of ``docs``; the last one returns the packing. A stage's edge
+cases (nulls, empty texts, repeated rows, empty tables, further columns) are those of its
+operator; rows with a null doc_id are never dropped as copies or as contaminated.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from graphloom.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
+from graphloom.storage import materialize
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_known_languages(docs, language_id.train(docs))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", identify_language), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("decontaminate", drop_benchmark), ("pack", pack)]
+
+#: SQL can't express the first stage.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup
+from . import decontaminate, exact_dedup, language_id, near_dedup, packing
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_language_id": language_id.op5_language_id,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.OP4_SQL}
+    return {"op2_decontaminate": decontaminate.OP2_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
