@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, near_dedup, packing
+from . import decontaminate, exact_dedup, language_id, licenses, near_dedup, packing, pii
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_license_scan": licenses.op3_license_scan,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_language_id": language_id.op5_language_id,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
+        "op10_pii": pii.op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.OP2_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
+    return {"op2_decontaminate": decontaminate.OP2_SQL, "op3_license_scan": licenses.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
