@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, licenses, near_dedup, packing, pii
+from . import decontaminate, exact_dedup, language_id, licenses, near_dedup, packing, pii, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_license_scan": licenses.op3_license_scan,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_language_id": language_id.op5_language_id,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_url_filter": url_filter.op7_url_filter,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
         "op10_pii": pii.op10_pii,
     }
