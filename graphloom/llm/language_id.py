@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +52,12 @@ def _features(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]
     right[first[1:] - 1] = 0
     tri = (left << 16) | (mid << 8) | right
     tri = (tri * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    del left, mid, right, at
     mask = np.uint64(BUCKETS - 1)
     spans = [(s, np.minimum(s + 2, e), 1), (s, np.minimum(s + 4, e), 2), (np.maximum(e - 2, s), e, 3), (np.maximum(e - 4, s), e, 4)]
     whole = [((span_hashes(data, a, b) + np.uint64(k * 7919)) & mask).astype(np.int64) for a, b, k in spans]
     whole.append((mix(tokens.hashes + np.uint64(5)) & mask).astype(np.int64))
-    return tri.astype(np.int64), first[:-1], whole
+    return tri.astype(np.intp), first[:-1], whole
 
 
 class Model:
@@ -180,15 +182,14 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_known_languages(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose language is known."""
-    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "__t"):
-            tokens = Tokens(batch.column("__t"))
+        for batch in chunks(batches, "text"):
+            tokens = Tokens(pc.utf8_lower(batch.column("text")))
             _, _, ok = _decide(model, model.label(tokens), tokens)
-            yield batch.filter(pa.array(ok)).select(columns)
+            yield batch.filter(pa.array(ok))
 
-    return docs.withColumn("__t", F.lower(F.coalesce("text", F.lit("")))).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PI = np.uint64(pow(int(_P), -1, 1 << 64))
 _WORD = np.zeros(256, bool)
