@@ -196,6 +196,10 @@ def code_structure_imports(g: Graph, repo_name: str | None = None, directory: st
     return _where(g["imports"], repo_name=repo_name).where(in_directory(F.col("source"), directory)).select("repo_name", F.col("source").alias("from_path"), F.col("target").alias("to_path")).distinct()
 
 
+def _reorder(columns: list[str]):
+    return lambda x: F.struct(*[x[k].alias(k) for k in columns])
+
+
 def code_structure(g: Graph, repo_name: str, directory: str | None = None) -> DataFrame:
     """One row with the five sorted lists."""
     out = None
@@ -208,7 +212,7 @@ def code_structure(g: Graph, repo_name: str, directory: str | None = None) -> Da
     ):
         rows = part(g, repo_name, directory).drop("repo_name")
         order = [*keys, *[c for c in rows.columns if c not in keys]]
-        one = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct(*order))), lambda x, c=rows.columns: F.struct(*[x[k].alias(k) for k in c])).alias(name))
+        one = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct(*order))), _reorder(rows.columns)).alias(name))
         out = one if out is None else out.crossJoin(one)
     return out
 
