@@ -60,7 +60,7 @@ def iso_timestamp(text: Column) -> Column:
 
 def glob_regex(patterns: list[str]) -> str:
     """A regular expression that matches a full path or base name by any of the globs; ``*`` crosses slashes."""
-    return "|".join(f"(?:{fnmatch.translate(p).replace(chr(92) + 'Z', '$').replace(chr(92) + 'z', '$')})" for p in patterns) or "(?!)"
+    return "|".join(f"(?:^{fnmatch.translate(p).replace(chr(92) + 'Z', '$').replace(chr(92) + 'z', '$')})" for p in patterns) or "(?!)"
 
 
 def ignored(path: Column, patterns: list[str]) -> Column:
