@@ -49,7 +49,7 @@ class BinaryFuse16:
         n = len(keys)
         segment = 1 << int(np.clip(np.floor(np.log(max(n, 2)) / np.log(3.33) + 2.25), 2, 18))
         factor = max(1.125, 0.875 + 0.25 * np.log(1e6) / np.log(max(n, 2)))
-        segments = max(1, -(-int(n * factor + 8) // segment))
+        segments = max(1, -(-int(n * factor + 8) // segment) - 2)
         for seed in range(200):
             if seed and seed % 20 == 0:
                 segments += 1 + segments // 10

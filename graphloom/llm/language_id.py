@@ -111,7 +111,7 @@ def fit(spans: list[tuple[str, str]]) -> Model:
     if not langs:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32))
     rng = np.random.RandomState(5)
-    noise = [" ".join("".join(rng.choice(list("0123456789bcdfghjkqvwxz"[: 10 if i % 2 else None]), rng.randint(1, 18))) for _ in range(8)) for i in range(max(20, len(spans) // 12))]
+    noise = [" ".join("".join(rng.choice(list("0123456789bcdfghjkqvwxz"[: 10 if i % 3 else None]), rng.randint(1, (18, 5, 9)[i % 3]))) for _ in range(12)) for i in range(max(60, len(spans) // 8))]
     pool = sorted(spans) + [("und", x) for x in noise]
     texts, tags, k = [], [], 0
     order = rng.permutation(len(pool))
