@@ -7,14 +7,9 @@ import sys
 
 from . import graph as store
 from . import schema, sync
-from .api import RepoAPI, to_json
+from .api import SPECS, RepoAPI, to_json
 from .config import load_config
 
-REQUIRED = {
-    "files_changed_in_mr": ("mr_iid",), "commit_history": ("file_path",), "function_callers": ("function_name",), "class_hierarchy": ("class_name",), "file_dependencies": ("file_path",), "author_contributions": ("author_email",), "hot_files": (),
-    "mr_risk_score": ("mr_iid",), "recent_changes": (), "code_structure": (), "mr_summary": ("mr_iid",), "search_functions": ("pattern",), "search_classes": ("pattern",),
-}
-
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="graphloom", description=__doc__)
@@ -41,18 +36,18 @@ def fail(message: str) -> int:
 
 def run_query(args: argparse.Namespace, cfg, session) -> int:
     name = args.name.replace("-", "_")
-    if name not in REQUIRED:
-        return fail(f"unknown query {args.name!r}; known: {', '.join(sorted(REQUIRED))}")
-    given = {k: getattr(args, k) for k in ("mr_iid", "file_path", "function_name", "class_name", "author_email", "days", "limit", "directory", "pattern")}
-    for k in ("function_name", "class_name"):
-        if k in REQUIRED[name] and not given[k]:
-            given[k] = args.short_name
-    missing = [k for k in REQUIRED[name] if given[k] in (None, "")]
+    if name not in SPECS:
+        return fail(f"unknown query {args.name!r}; known: {', '.join(RepoAPI.QUERIES)}")
+    options = {k: v for k, v in vars(args).items() if k not in ("command", "config", "name", "short_name") and v is not None}
+    for k in SPECS[name].needs:
+        if k in ("function_name", "class_name") and not options.get(k) and args.short_name:
+            options[k] = args.short_name
+    missing = [k for k in SPECS[name].needs if options.get(k) in (None, "")]
     if missing:
         return fail(f"query {name!r} needs: {', '.join(missing)}")
     api = RepoAPI.open(session(), cfg.store.path, cfg.repo_name)
     try:
-        print(to_json(api.query(name, **{k: v for k, v in given.items() if v is not None})))
+        print(to_json(api.query(name, **options)))
     except (TypeError, ValueError) as e:
         return fail(f"query {name!r}: {e}")
     return 0

@@ -2,85 +2,71 @@
 
 from __future__ import annotations
 
+import copy
 import os
 import re
-from dataclasses import dataclass, field
 from pathlib import Path
+from types import SimpleNamespace
 from typing import Any
 
-_VAR = re.compile(r"\$\{(\w+)(?::([^}]*))?\}")
+_VAR = re.compile(r"[$][{](?P<var>[A-Za-z_]\w*)(?P<alt>:[^}]*)?[}]")
+
+#: Sections and their settings; one without a default must be given if its section is.
+NEEDED = object()
+SECTIONS: dict[str, dict[str, Any]] = {
+    "repository": {"branch": None, "name": None, "path": None},
+    "gitlab": {"private_token": NEEDED, "project_id": NEEDED, "url": NEEDED, "branch": None},
+    "store": {"path": "graph"},
+    "parsing": {"strict": False, "ast_enabled": True, "languages": ["python"], "ignore_patterns": ["*.min.js", "*.pyc", ".git/**", "__pycache__/**", "node_modules/**"]},
+    "sync": {"max_commits": None, "batch_size": 500},
+}
 
 
 def resolve(value: Any) -> Any:
     """Variables replaced in all strings below ``value``; one that is neither set nor has a default is an error."""
 
     def one(m: re.Match) -> str:
-        found = os.environ.get(m.group(1), m.group(2))
+        default = m["alt"][1:] if m["alt"] else None
+        found = os.environ.get(m["var"], default)
         if found is None:
-            raise ValueError(f"the environment variable {m.group(1)} is not set and has no default")
+            raise ValueError(f"the environment variable {m['var']} is not set and has no default")
         return found
 
     if isinstance(value, str):
         return _VAR.sub(one, value)
     if isinstance(value, dict):
-        return {k: resolve(v) for k, v in value.items()}
-    return [resolve(v) for v in value] if isinstance(value, list) else value
-
-
-@dataclass
-class Repository:
-    path: str | None = None
-    name: str | None = None
-    branch: str | None = None
-
-
-@dataclass
-class GitLab:
-    url: str
-    project_id: int
-    private_token: str
-    branch: str | None = None
-
-
-@dataclass
-class Store:
-    path: str = "graph"
-
-
-@dataclass
-class Parsing:
-    ast_enabled: bool = True
-    languages: list[str] = field(default_factory=lambda: ["python"])
-    ignore_patterns: list[str] = field(default_factory=lambda: ["node_modules/**", "__pycache__/**", ".git/**", "*.pyc", "*.min.js"])
-    strict: bool = False
-
-
-@dataclass
-class Sync:
-    batch_size: int = 500
-    max_commits: int | None = None
+        return {key: resolve(item) for key, item in value.items()}
+    return list(map(resolve, value)) if isinstance(value, list) else value
 
 
-@dataclass
 class Config:
-    repository: Repository = field(default_factory=Repository)
-    gitlab: GitLab | None = None
-    store: Store = field(default_factory=Store)
-    parsing: Parsing = field(default_factory=Parsing)
-    sync: Sync = field(default_factory=Sync)
+    """Settings by section as attributes; ``gitlab`` is None unless configured."""
+
+    def __init__(self, **given: dict | None):
+        for section, defaults in SECTIONS.items():
+            own = given.get(section)
+            if own is None and section == "gitlab":
+                self.gitlab = None
+                continue
+            unknown = set(own or {}) - set(defaults)
+            values = copy.deepcopy(defaults) | (own or {})
+            missing = [k for k, v in values.items() if v is NEEDED]
+            if unknown or missing:
+                raise ValueError(f"{section}: " + ", ".join([f"{k} is unknown" for k in sorted(unknown)] + [f"{k} is missing" for k in missing]))
+            setattr(self, section, SimpleNamespace(**values))
 
     @property
     def repo_name(self) -> str:
-        if self.repository.name:
-            return self.repository.name
-        if self.gitlab:
-            return f"project-{self.gitlab.project_id}"
-        raise ValueError("repository.name or gitlab.project_id must be set")
+        """The configured name, else one made of the project's number."""
+        name = self.repository.name or (f"project-{self.gitlab.project_id}" if self.gitlab else None)
+        if not name:
+            raise ValueError("repository.name or gitlab.project_id must be set")
+        return name
 
     @property
     def remote(self) -> bool:
         """Without a local clone everything comes from the service."""
-        return not self.repository.path and self.gitlab is not None
+        return bool(self.gitlab) and not self.repository.path
 
 
 def load_config(path: str | Path) -> Config:
@@ -89,5 +75,4 @@ def load_config(path: str | Path) -> Config:
     if not Path(path).exists():
         raise FileNotFoundError(f"no configuration at {path}")
     raw = resolve(yaml.safe_load(Path(path).read_text()) or {})
-    parts = {"repository": Repository, "gitlab": GitLab, "store": Store, "parsing": Parsing, "sync": Sync}
-    return Config(**{k: parts[k](**v) for k, v in raw.items() if k in parts and v is not None})
+    return Config(**{k: v for k, v in raw.items() if k in SECTIONS})

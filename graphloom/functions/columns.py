@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def in_directory(path: Column, directory: str | None) -> Column:
     """Whether a path is a directory or below it; one trailing slash of the directory is ignored, and none means all."""
     if not directory:
         return F.lit(True)
-    p = directory[:-1] if directory.endswith("/") else directory
+    p = re.sub("/$", "", directory)
     return (path == p) | path.startswith(p + "/")
 
 

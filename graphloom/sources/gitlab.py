@@ -37,8 +37,9 @@ COMMIT_JSON = (
 )
 
 
-def normalize_url(url: str) -> str:
-    return url.rstrip("/")
+def normalize_url(address: str) -> str:
+    """Without slashes at the end."""
+    return address.rstrip("/")
 
 
 def with_retry(call: Callable, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep):
@@ -60,8 +61,8 @@ def with_retry(call: Callable, attempts: int = ATTEMPTS, sleep: Callable[[float]
 class Client:
     """REST v4 of one project."""
 
-    def __init__(self, url: str, project_id: int | str, token: str, opener: Callable | None = None):
-        self.base = f"{normalize_url(url)}/api/v4/projects/{urllib.parse.quote(str(project_id), safe='')}"
+    def __init__(self, address: str, project: int | str, token: str, opener: Callable | None = None):
+        self.base = f"{normalize_url(address)}/api/v4/projects/{urllib.parse.quote(str(project), safe='')}"
         self.token, self.opener = token, opener or urllib.request.urlopen
 
     def get(self, path: str, **params) -> tuple[object, dict]:

@@ -18,7 +18,7 @@ def _plain(v):
     return str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
 
 
-def test_every_reference_query_equals_its_sql(spark):
+def test_every_graph_query_equals_its_sql(spark):
     if not Path(SF).exists():
         pytest.skip("no test tables")
     from graphloom.plans import registry
