@@ -36,6 +36,8 @@ BUCKETS = 1 << 16
 #: The least share of the words' posterior that must be of languages, and of that the least share of the best one.
 MIN_KNOWN = 0.2
 MIN_CONFIDENCE = 0.5
+#: With many languages less is enough: this many times an even share.
+STANDS_OUT = 1.2
 
 
 def _features(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -151,7 +153,7 @@ def _decide(model: Model, post: np.ndarray, tokens: Tokens) -> tuple[np.ndarray,
     some &= known >= MIN_KNOWN * counts
     best[~some] = und
     conf[~some] = 0
-    return best, conf, some & (conf >= MIN_CONFIDENCE)
+    return best, conf, some & (conf >= min(MIN_CONFIDENCE, STANDS_OUT / und))
 
 
 def label(docs: DataFrame, model: Model) -> DataFrame:
