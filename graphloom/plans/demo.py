@@ -134,6 +134,12 @@ class Stored(Graph):
             self.written[name] = load(self.spark, f"{self.root}/{name}")[name]
         return self.written[name] if name in self.written else super().__getitem__(name)
 
+    def write_all(self) -> None:
+        """Write every table that isn't yet, several at a time."""
+        left = {k: v for k, v in self.tables.items() if k not in self.written}
+        save(Graph(self.spark, left), f"{self.root}/all")
+        self.written |= load(self.spark, f"{self.root}/all").tables
+
 
 _STORED: dict[tuple[str, str], Graph] = {}
 

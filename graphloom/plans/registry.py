@@ -11,7 +11,7 @@ from graphloom import schema
 from graphloom.functions import columns as C
 from graphloom.operators import ingest, upsert
 
-from . import demo, named
+from . import demo, named, recipes
 
 AS_OF = "1998-06-01 00:00:00"
 
@@ -198,6 +198,23 @@ _ENTRIES: dict[str, tuple[Callable, str | None]] = {
     ),
 }
 
+_ENTRIES |= {
+    "hub_functions": (
+        _graph(recipes.hub_functions),
+        "SELECT repo_name, callee, callers FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY callers DESC, callee) AS r FROM (SELECT repo_name, callee, count(DISTINCT caller) AS callers FROM calls WHERE caller <> callee GROUP BY 1, 2)) WHERE r <= 10",
+    ),
+    "file_owners": (
+        _graph(recipes.file_owners),
+        """, w AS (SELECT m.repo_name, path, author_email, count(*) AS n FROM modifies m JOIN s_commits c ON c.hash = m.hash GROUP BY ALL)
+        SELECT repo_name, path, author_email AS owner, round(n / commits, 4) AS share, CAST(commits AS BIGINT) AS commits FROM (SELECT *, sum(n) OVER (PARTITION BY repo_name, path) AS commits, row_number() OVER (PARTITION BY repo_name, path ORDER BY n DESC, author_email) AS r FROM w) WHERE r = 1""",
+    ),
+    "mr_overlaps": (
+        _graph(recipes.mr_overlaps),
+        """, f AS (SELECT DISTINCT mr_repo, iid, path FROM mr_mod WHERE iid % 4 = 0)
+        SELECT a.mr_repo AS repo_name, a.iid, b.iid AS other_iid, count(*) AS shared_files FROM f a JOIN f b ON b.mr_repo = a.mr_repo AND b.path = a.path AND a.iid < b.iid GROUP BY ALL""",
+    ),
+}
+
 
 def _change_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag")
