@@ -171,9 +171,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     one = kept.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "first", "n")).alias("at"), F.max("doc_id").alias("hi"))
     wanted = one.select("at.doc_id", F.struct("anchor", "seg", F.col("at.first").alias("first"), F.col("at.n").alias("n"), F.col("at.doc_id").alias("lo"), "hi").alias("x"))
     wanted = materialize(wanted.groupBy("doc_id").agg(F.collect_list("x").alias("want")), "wanted")
-    few = wanted.agg(F.sum(F.size("want"))).head()[0] or 0
-    sources = texts.dropDuplicates(["doc_id"]) if _repeated_ids(docs) else texts
-    words = sources.join(F.broadcast(wanted) if few <= BROADCAST_ROWS else wanted, "doc_id").select("t", "want").mapInArrow(_words, "anchor long, seg long, lo long, hi long, words binary")
+    # only texts with something to sort are shuffled, as long as their ids are few enough to send to every task
+    sources = texts.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi") if wanted.count() <= BROADCAST_ROWS else texts
+    if _repeated_ids(docs):
+        sources = sources.dropDuplicates(["doc_id"])
+    words = sources.join(wanted.hint("merge"), "doc_id").select("t", "want").mapInArrow(_words, "anchor long, seg long, lo long, hi long, words binary")
     found = words.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort, "anchor long, seg long, offset int, n int, origin long")
     found = materialize(found.withColumnRenamed("n", "starts"), "found")
     spans = kept.join(found, ["anchor", "seg"]).select("doc_id", (F.col("first") + F.col("offset")).alias("a"), (F.col("first") + F.col("offset") + F.col("starts") + (LENGTH - 1)).alias("b"), "origin").distinct()
