@@ -159,7 +159,3 @@ def shingles(tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = tokens.bounds[i], tokens.bounds[i + 1]
         out[bounds[i]] = ngrams(tokens.hashes[a:b], int(b - a))[0]
     return out, bounds
-
-
-def strings(column: pa.Array) -> list:
-    return column.to_pylist()
