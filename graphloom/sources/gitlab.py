@@ -112,9 +112,16 @@ class _Page(InputPartition):
         self.page = page
 
 
+_TABLES = {"merge_requests": "value string", "commits": "pos bigint, value string", "files": "path string, content binary"}
+_PATHS = {"merge_requests": "merge_requests", "commits": "repository/commits", "files": "repository/tree"}
+
+
 class PagesReader(DataSourceReader):
+    """A task for each page of the listing; it fetches what belongs to the page's entries."""
+
     def __init__(self, options: dict[str, str]):
         self.options = dict(options)
+        self.table = self.options.get("table", "merge_requests")
 
     def _client(self) -> Client:
         o = self.options
@@ -122,27 +129,39 @@ class PagesReader(DataSourceReader):
 
     def _params(self) -> dict:
         o = self.options
+        if self.table == "commits":
+            return {"ref_name": o.get("branch")}
+        if self.table == "files":
+            return {"ref": o.get("branch"), "recursive": "true"}
         order = o.get("order_by", "updated_at")
         return {"state": o.get("state"), "updated_after": o.get("updated_after"), "target_branch": o.get("target_branch"), "order_by": order if order in ("created_at", "updated_at") else "updated_at", "sort": "desc"}
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(k) for k in range(1, self._client().pages("merge_requests", **self._params()) + 1)]
+        return [_Page(k) for k in range(1, self._client().pages(_PATHS[self.table], **self._params()) + 1)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
         client = self._client()
-        for mr in client.get("merge_requests", per_page=PAGE, page=partition.page, **self._params())[0]:
-            yield (json.dumps(client.merge_request(mr["iid"])),)
+        rows = client.get(_PATHS[self.table], per_page=PAGE, page=partition.page, **self._params())[0]
+        for k, row in enumerate(rows):
+            if self.table == "merge_requests":
+                yield (json.dumps(client.merge_request(row["iid"])),)
+            elif self.table == "commits":
+                yield (partition.page - 1) * PAGE + k, json.dumps({**row, "diffs": client.optional(f"repository/commits/{row['id']}/diff", [])})
+            elif row.get("type") == "blob":
+                text = client.file_content(row["path"], self.options.get("branch") or "HEAD")
+                if text is not None:
+                    yield row["path"], text.encode()
 
 
 class PagesSource(DataSource):
-    """Options: url, projectId, token, and the filters state, updated_after, target_branch, order_by, which the service applies."""
+    """Options: url, projectId, token, table (merge_requests, commits or files), branch, and for merge requests the filters state, updated_after, target_branch, order_by, which the service applies."""
 
     @classmethod
     def name(cls) -> str:
         return "gitlab"
 
     def schema(self) -> str:
-        return "value string"
+        return _TABLES[self.options.get("table", "merge_requests")]
 
     def reader(self, schema) -> PagesReader:
         return PagesReader(self.options)
@@ -152,6 +171,22 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagesSource)
 
 
+def read(spark: SparkSession, address: str, project: int | str, token: str, table: str = "merge_requests", **options) -> DataFrame:
+    """A table of the service; options that are None aren't given."""
+    register(spark)
+    reader = spark.read.format("gitlab").option("url", address).option("projectId", str(project)).option("token", token).option("table", table)
+    for key, value in options.items():
+        if value is not None:
+            reader = reader.option(key, str(value))
+    return reader.load()
+
+
+def branches(client: Client, default: str | None = None) -> list[tuple[str, bool, str]]:
+    """(name, is_default, head) sorted by name; the default is the service's own unless one is asked for."""
+    found = [b for page in range(1, client.pages("repository/branches") + 1) for b in client.get("repository/branches", per_page=PAGE, page=page)[0]]
+    return sorted((b["name"], b["name"] == default if default else bool(b.get("default")), b["commit"]["id"]) for b in found)
+
+
 def parse_merge_requests(raw: DataFrame) -> DataFrame:
     """``value`` strings to typed documents. Labels may be strings or objects with a name, so they stay JSON here."""
     return raw.select(F.from_json("value", MR_JSON).alias("m")).select("m.*")

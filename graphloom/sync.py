@@ -16,6 +16,7 @@ from .graph import Graph, load, save
 from .operators import ingest
 from .operators.upsert import upsert
 from .sources import code, git, gitlab
+from .storage import materialize
 
 
 def get_sync_state(graph: Graph, repo_name: str) -> dict | None:
@@ -53,11 +54,7 @@ def ingest_documents(graph: Graph, raw: DataFrame, repo_name: str) -> Graph:
 
 def _merge_requests(graph: Graph, cfg: Config, since) -> Graph:
     g = cfg.gitlab
-    gitlab.register(graph.spark)
-    reader = graph.spark.read.format("gitlab").option("url", g.url).option("projectId", str(g.project_id)).option("token", g.private_token)
-    if since is not None:
-        reader = reader.option("updated_after", since.isoformat())
-    raw = reader.load().persist()
+    raw = materialize(gitlab.read(graph.spark, g.url, g.project_id, g.private_token, updated_after=since and since.isoformat()), "merge-requests")  # fetched once
     out = ingest_documents(graph, raw, cfg.repo_name)
     newest = gitlab.parse_merge_requests(raw).agg(F.max(F.try_to_timestamp("updated_at"))).head()[0]
     return update_sync_state(out, cfg.repo_name, last_mr_updated_at=newest) if newest is not None else out
@@ -73,28 +70,45 @@ def update(spark: SparkSession, cfg: Config) -> dict[str, int]:
     return _run(spark, cfg, full=False)
 
 
+def _local(graph: Graph, cfg: Config, tip: str | None, since: str | None) -> tuple[Graph, int]:
+    path = cfg.repository.path
+    graph, n = ingest_local_commits(graph, path, cfg.repo_name, tip, since, cfg.sync.max_commits)
+    return (ingest_local_code(graph, path, cfg) if cfg.parsing.ast_enabled else graph), n
+
+
+def _remote(graph: Graph, cfg: Config, tip: str | None, since: str | None) -> tuple[Graph, int]:
+    g, name = cfg.gitlab, cfg.repo_name
+    raw = materialize(gitlab.read(graph.spark, g.url, g.project_id, g.private_token, "commits", branch=tip), "remote-commits")
+    records = materialize(gitlab.commits(raw, name, tip, since, cfg.sync.max_commits), "commit-records")
+    commits, changes, parents = ingest.flatten_commits(records)
+    graph = ingest.ingest_commits(graph, commits, changes.withColumnRenamed("pos", "commit_pos"), parents)
+    if cfg.parsing.ast_enabled:
+        files = materialize(gitlab.read(graph.spark, g.url, g.project_id, g.private_token, "files", branch=tip), "remote-files")
+        parsed = code.parse_files(files, name, cfg.parsing.languages, cfg.parsing.ignore_patterns, cfg.parsing.strict)
+        graph = ingest.ingest_files(graph, *ingest.flatten_files(parsed))
+    return graph, records.count()
+
+
 def _run(spark: SparkSession, cfg: Config, full: bool) -> dict[str, int]:
-    root, name = cfg.store.path, cfg.repo_name
-    if cfg.remote:
-        raise ValueError("loading code and commits from the service needs a dump; see sources.gitlab.commits and sync.ingest_documents")
-    if not cfg.repository.path:
+    root, name, path = cfg.store.path, cfg.repo_name, cfg.repository.path
+    if not path and not cfg.gitlab:
         raise ValueError("repository.path or gitlab must be configured")
     graph = load(spark, root)
     state = None if full else get_sync_state(graph, name)
-    path = cfg.repository.path
-    heads = git.branches(path, cfg.repository.branch or "main")
-    tip = cfg.repository.branch or next((n for n, default, _ in heads if default), None)
+    asked = cfg.repository.branch or (cfg.gitlab.branch if cfg.remote else None)
+    if cfg.remote:
+        heads = gitlab.branches(gitlab.Client(cfg.gitlab.url, cfg.gitlab.project_id, cfg.gitlab.private_token), asked)
+    else:
+        heads = git.branches(path, asked or "main")
+    tip = asked or next((n for n, default, _ in heads if default), None)
     if full:
-        repo = spark.createDataFrame([(name, path, tip)], "name string, url string, default_branch string")
+        repo = spark.createDataFrame([(name, path or cfg.gitlab.url, tip)], "name string, url string, default_branch string")
         graph = ingest.ingest_repository(graph, repo)
-    graph = ingest.ingest_branches(graph, git.load(spark, path, "branches", branch=tip, repoName=name))
-    graph, n = ingest_local_commits(graph, path, name, tip, state and state["last_commit_hash"], cfg.sync.max_commits)
-    if cfg.parsing.ast_enabled:
-        graph = ingest_local_code(graph, path, cfg)
+    graph = ingest.ingest_branches(graph, spark.createDataFrame([(name, *h) for h in heads], "repo_name string, name string, is_default boolean, head_commit_hash string"))
+    graph, n = (_remote if cfg.remote else _local)(graph, cfg, tip, state and state["last_commit_hash"])
     if cfg.gitlab:
         graph = _merge_requests(graph, cfg, state and state["last_mr_updated_at"])
-    head = next((h for b, _, h in heads if b == tip), None)
-    graph = update_sync_state(graph, name, last_commit_hash=head)
+    graph = update_sync_state(graph, name, last_commit_hash=next((h for b, _, h in heads if b == tip), None))
     save(graph, root)
     stored = load(spark, root)
     return {"commits": n, "files": stored["file"].where(F.col("repo_name") == name).where("language IS NOT NULL").count(), "merge_requests": stored["merge_request"].where(F.col("repo_name") == name).count()}

@@ -199,3 +199,58 @@ def test_code_limits(spark):
     files = spark.createDataFrame([("vendor/a.py", b"x=1"), ("b.py", b"def f(): g()"), ("c.bin", b"\0"), ("d.py", None)], "path string, content binary")
     got = code.parse_files(files, "r", ignore=["vendor/**"]).collect()
     assert [(r.path, r.functions[0].calls) for r in got] == [("b.py", ["g"])]
+
+
+def test_remote_load_and_update(spark, tmp_path):
+    """Everything from a service: a small one on this machine, with two pages of commits."""
+    import base64
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    log = [{"id": f"{k}" * 40, "message": "m", "author_name": "A", "author_email": "a@x", "committed_date": "2024-06-01T12:00:00Z", "parent_ids": [f"{k + 1}" * 40]} for k in range(3)]
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            url = urlsplit(self.path)
+            path, page, pages = url.path.split("/projects/7/")[1], int(parse_qs(url.query).get("page", ["1"])[0]), 1
+            seen.append((path, url.query))
+            if path == "repository/branches":
+                body = [{"name": "main", "default": True, "commit": {"id": log[0]["id"]}}, {"name": "dev", "commit": {"id": log[1]["id"]}}]
+            elif path == "repository/commits":
+                body, pages = (log[:2], log[2:])[page - 1], 2
+            elif path.endswith("/diff"):
+                body = [{"old_path": "a.py", "new_path": "a.py", "diff": "@@\n+x\n"}]
+            elif path == "repository/tree":
+                body = [{"type": "tree", "path": "d"}, {"type": "blob", "path": "a.py"}]
+            elif path.startswith("repository/files/"):
+                body = {"content": base64.b64encode(b"def f(): g()\n").decode()}
+            elif path == "merge_requests":
+                body = [{"iid": 1}]
+            elif path == "merge_requests/1":
+                body = {k: v for k, v in MR.items() if k not in ("commits", "discussions", "approved_by", "changes")}
+            elif path == "merge_requests/1/commits":
+                body = [{"id": log[0]["id"]}]
+            else:
+                body = None
+            self.send_response(200 if body is not None else 404)
+            self.send_header("X-Total-Pages", str(pages))
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    cfg = config.Config(gitlab={"url": f"http://127.0.0.1:{server.server_port}/", "project_id": 7, "private_token": "t"}, store={"path": f"{tmp_path}/g"})
+    try:
+        assert sync.ingest_all(spark, cfg) == {"commits": 3, "files": 1, "merge_requests": 1}
+        g = load(spark, cfg.store.path)
+        assert g["parent_of"].count() == 2 and g["contains_commit"].count() == 1 and g["has_branch"].count() == 2 and [r.name for r in g["function"].collect()] == ["f"]
+        state = sync.get_sync_state(g, "project-7")
+        assert state["last_commit_hash"] == log[0]["id"] and state["last_mr_updated_at"] is not None
+        assert sync.update(spark, cfg)["commits"] == 0 and any("updated_after" in q for p, q in seen if p == "merge_requests")
+    finally:
+        server.shutdown()
