@@ -52,6 +52,10 @@ def ingest_documents(graph: Graph, raw: DataFrame, repo_name: str) -> Graph:
     return out.with_tables(mr_diff=schema.conform(gitlab.mr_diffs(docs, repo_name), "mr_diff") if "mr_diff" not in out else out["mr_diff"].unionByName(schema.conform(gitlab.mr_diffs(docs, repo_name), "mr_diff")).dropDuplicates(["iid", "repo_name", "new_path"]))
 
 
+def _client(g) -> gitlab.Client:
+    return gitlab.Client(token=g.private_token, address=g.url, project=g.project_id)
+
+
 def _merge_requests(graph: Graph, cfg: Config, since) -> Graph:
     g = cfg.gitlab
     raw = materialize(gitlab.read(graph.spark, g.url, g.project_id, g.private_token, updated_after=since and since.isoformat()), "merge-requests")  # fetched once
@@ -97,7 +101,7 @@ def _run(spark: SparkSession, cfg: Config, full: bool) -> dict[str, int]:
     state = None if full else get_sync_state(graph, name)
     asked = cfg.repository.branch or (cfg.gitlab.branch if cfg.remote else None)
     if cfg.remote:
-        heads = gitlab.branches(gitlab.Client(cfg.gitlab.url, cfg.gitlab.project_id, cfg.gitlab.private_token), asked)
+        heads = gitlab.branches(_client(cfg.gitlab), asked)
     else:
         heads = git.branches(path, asked or "main")
     tip = asked or next((n for n, default, _ in heads if default), None)
