@@ -183,15 +183,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, keep_id) for every document in a group of near duplicates that isn't the group's first."""
     signed = lowered(docs.where("doc_id IS NOT NULL"), "doc_id").mapInArrow(_sign, _SIGNED)
     signed = materialize(signed, "signed")
-    same = materialize(signed.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")), "same")
-    first = same.select("doc_id")
-    bands = signed.join(hinted(first, 50_000), "doc_id", "left_semi") if first.count() <= 50_000 else signed.join(first, "doc_id", "left_semi")
-    bands = bands.select(F.explode("bands").alias("band"), "doc_id")
+    # documents with equal samples have equal bands and sketches too: any of them will do
+    same = signed.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    same = materialize(same, "same")
+    bands = same.select(F.explode("bands").alias("band"), "doc_id")
     buckets = bands.repartition("band").sortWithinPartitions("band").mapInArrow(_buckets, "bucket long, size long, doc_id long").distinct()
-    sketches = signed.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    sketches = same.select("doc_id", "sketch").dropDuplicates(["doc_id"])
     members = buckets.join(sketches, "doc_id").select("bucket", "doc_id", "sketch")
     edges = members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verify(threshold), "a long, b long")
-    copies = signed.join(same.where("doc_id < last").withColumnRenamed("doc_id", "first"), "sig").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    copies = signed.select("sig", "doc_id").join(same.where("doc_id < last").select("sig", F.col("doc_id").alias("first")), "sig").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     groups = components(edges.unionAll(copies))
     return groups.where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
