@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, exact_dedup, language_id, licenses, near_dedup, packing, pii, suffix_dedup, toxicity, url_filter
+from graphloom.llm import decontaminate, exact_dedup, language_id, licenses, near_dedup, packing, pii, suffix_dedup, text, toxicity, url_filter
 
 R = np.random.RandomState(0)
 WORDS = ["".join(chr(97 + c) for c in R.randint(0, 26, 5)) for _ in range(3000)]
@@ -209,6 +209,19 @@ def test_toxicity(hard, none, spark):
     assert toxicity.score_documents(none, labels).count() == 0
 
 
+def hashes(*words):
+    return np.array([text.word_hash(w) for w in words], np.uint64)
+
+
+def test_toxicity_rare_neighbours(spark):
+    """A neighbour in less than 1/5000 of its seed's joint occurrences takes part."""
+    r = np.random.RandomState(13)
+    rows = [" ".join([*r.choice(WORDS, 5), "vile", *r.choice(WORDS, 5), "the", *r.choice(WORDS, 5)]) for _ in range(8000)]
+    rows += ["scum vile"] * 14 + [" ".join(r.choice(WORDS, 1000)) for _ in range(400)]
+    got = {x.w: x.polarity for x in toxicity.induce(spark.createDataFrame([(t,) for t in rows], "t string"), (hashes("vile"), hashes("the"))).collect()}
+    assert got[int(hashes("scum").view(np.int64)[0])] > 0
+
+
 def test_pipeline(spark, hard, tmp_path):
     import corpus_pipeline
 
