@@ -222,6 +222,16 @@ def test_toxicity_rare_neighbours(spark):
     assert got[int(hashes("scum").view(np.int64)[0])] > 0
 
 
+def test_toxicity_rare_seeds(spark):
+    """An insult in 15 % of the toxic documents is a seed beside one in 90 %; a word of clean documents isn't."""
+    r = np.random.RandomState(14)
+    texts = [r.choice(WORDS[:150], 60).tolist() for _ in range(1000)]
+    toxic = [" ".join(w + ["vile"] * (i % 10 > 0) + ["scum"] * (i % 20 < 3) + ["often"] * (i % 3 > 0)) for i, w in enumerate(texts[:200])]
+    clean = [" ".join(w + ["often"] * (i % 4 == 0)) for i, w in enumerate(texts[200:])]
+    bad, good = toxicity.find_seeds(*(spark.createDataFrame([(t,) for t in x], "t string") for x in (toxic, clean)))
+    assert set(bad.tolist()) == set(hashes("vile", "scum").tolist()) and len(good)
+
+
 def test_pipeline(spark, hard, tmp_path):
     import corpus_pipeline
 
