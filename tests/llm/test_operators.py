@@ -232,6 +232,17 @@ def test_toxicity_rare_seeds(spark):
     assert set(bad.tolist()) == set(hashes("vile", "scum").tolist()) and len(good)
 
 
+@pytest.mark.parametrize("size", [20, 400])
+def test_toxicity_many_induced(spark, size):
+    """Words near toxic seeds are found however many there are, and the seeds stay as polar."""
+    r = np.random.RandomState(15)
+    held = [f"insult{i}" for i in range(size)]
+    rows = [f"{w} vile scum rotten" for w in held for _ in range(12)]
+    rows += [" ".join(w for x in r.choice(WORDS, 900) for w in (x, "the")[: 1 + (x < "f")]) for _ in range(2 * size)]
+    got = {x.w: x.polarity for x in toxicity.induce(spark.createDataFrame([(t,) for t in rows], "t string"), (hashes("vile", "scum", "rotten"), hashes("the"))).collect()}
+    assert min(got.get(int(w), 0) for w in hashes(*held, "vile", "scum", "rotten").view(np.int64)) >= toxicity.LEXICON
+
+
 def test_pipeline(spark, hard, tmp_path):
     import corpus_pipeline
 
