@@ -10,12 +10,17 @@ suffix-sorted by linear grouping (``suffix_array``). Neighbours that agree in LE
 form classes; a class with two documents is a repeat. Repeats of a document that overlap
 or touch are joined to maximal spans.
 
+A minimizer whose distinct segments have more than HOT symbols isn't sorted in one task: its
+starts are grouped again by the hash of all their LENGTH words, which equal passages share,
+so no task holds more than the copies of one passage, and those collapse before.
+
 A word is compared by 32 bits of its hash; a false span needs such a collision inside an
 otherwise equal run.
 
 Defined results: null, empty and short texts have no passage; null doc_ids are ignored;
-rows repeated under one doc_id are one document; a passage repeated only inside one
-document isn't reported; an empty table gives an empty result.
+equal rows under one doc_id are one document; different texts under one doc_id are searched
+each by itself, and a passage that only texts of one doc_id share isn't reported, nor one that
+is repeated only inside one document; ids are integers; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,13 +36,15 @@ from graphloom.storage import materialize
 
 from .near_dedup import _runs
 from .suffix_array import suffix_array
-from .tables import BROADCAST_ROWS, lowered, read
+from .tables import BROADCAST_ROWS, hinted, read, with_ids
 from .text import Tokens, chunks, mix, ngrams
 
 LENGTH = 50
 SEED = 8
 #: Symbols that are sorted at a time; a minimizer's segments are never parted.
 SYMBOLS = 200_000
+#: Symbols of one minimizer's distinct segments that one task sorts.
+HOT = 4_000_000
 
 
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -52,8 +59,8 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def segments(tokens: Tokens, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Document, first start, number of starts, minimizer and content hash of every segment."""
+def segments(tokens: Tokens, length: int = LENGTH, heavy: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Document, first start, number of starts, minimizer and content hash of every segment. With ``heavy`` (sorted), only starts with these minimizers, grouped by the hash of all their words instead."""
     h = tokens.hashes
     seed = min(SEED, length)
     low = window_min(ngrams(h, seed), length - seed + 1)
@@ -61,8 +68,12 @@ def segments(tokens: Tokens, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     doc = np.repeat(np.arange(len(counts)), counts)
     at = np.repeat(tokens.bounds[:-1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
     low = low[at]
+    if heavy is not None:
+        wanted = heavy[np.minimum(np.searchsorted(heavy, low), len(heavy) - 1)] == low
+        at, doc = at[wanted], doc[wanted]
+        low = ngrams(h, length)[at]
     new = np.ones(len(at), bool)
-    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
     begin = np.flatnonzero(new)
     n = np.diff(np.append(begin, len(at)))
     a = at[begin]
@@ -75,13 +86,19 @@ def segments(tokens: Tokens, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     return doc[begin], a - tokens.bounds[doc[begin]], n, low[begin], content
 
 
-def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "t"):
-        tokens = Tokens(batch.column("t"))
-        doc, first, n, low, content = segments(tokens)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(low.view(np.int64)), pa.array(content.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "seg", "doc_id", "first", "n"]
-        )
+_PLACE = "anchor long, seg long, doc_id long, key long, first int, n int"
+
+
+def _segment(heavy: np.ndarray | None = None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "t"):
+            doc, first, n, low, content = segments(Tokens(batch.column("t")), heavy=heavy)
+            pick = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(low.view(np.int64)), pa.array(content.view(np.int64)), batch.column("doc_id").take(pick), batch.column("key").take(pick), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "seg", "doc_id", "key", "first", "n"]
+            )
+
+    return run
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,32 +179,44 @@ def _by_anchor(table: pa.Table, most: int = 2000) -> Iterator[pa.Table]:
         start = end
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_word, n_words, origin) for each maximal span of a document whose every LENGTH words also stand in another one; ``origin`` is the least doc_id that has some of them, so a span with origin = doc_id is the first copy."""
-    texts = lowered(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), "doc_id")
-    places = materialize(texts.mapInArrow(_segment, "anchor long, seg long, doc_id long, first int, n int"), "segments")
+def _shared(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The places whose minimizer two documents have, and each distinct segment of them once: (anchor, seg, at, hi) with its least place and greatest document."""
     anchors = places.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     kept = materialize(places.join(anchors, "anchor", "left_semi"), "kept")
-    one = kept.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "first", "n")).alias("at"), F.max("doc_id").alias("hi"))
-    wanted = one.select("at.doc_id", F.struct("anchor", "seg", F.col("at.first").alias("first"), F.col("at.n").alias("n"), F.col("at.doc_id").alias("lo"), "hi").alias("x"))
-    wanted = materialize(wanted.groupBy("doc_id").agg(F.collect_list("x").alias("want")), "wanted")
+    return kept, materialize(kept.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "key", "first", "n")).alias("at"), F.max("doc_id").alias("hi")), "distinct")
+
+
+def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, first_word, n_words, origin) for each maximal span of a document whose every LENGTH words also stand in another one; ``origin`` is the least doc_id that has some of them, so a span with origin = doc_id is the first copy."""
+    docs = with_ids(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    # where ids repeat, the text's hash tells their rows apart
+    key = F.xxhash64("text") if _repeated_ids(docs) else F.lit(0).cast("long")
+    texts = docs.select("doc_id", key.alias("key"), F.lower("text").alias("t"))
+    places = materialize(texts.mapInArrow(_segment(), _PLACE), "segments")
+    kept, one = _shared(places)
+    heavy = materialize(one.groupBy("anchor").agg(F.sum(F.col("at.n") + (LENGTH - 1)).alias("symbols")).where(F.col("symbols") > hot).select("anchor"), "heavy")
+    if not heavy.isEmpty():
+        found = np.sort(heavy.toPandas()["anchor"].to_numpy(np.int64).view(np.uint64))  # at most one for each HOT symbols of all segments
+        fine = texts.mapInArrow(_segment(found), _PLACE)
+        kept, one = _shared(materialize(places.join(hinted(heavy), "anchor", "left_anti").unionByName(fine), "segments"))
+    wanted = one.select("at.doc_id", "at.key", F.struct("anchor", "seg", F.col("at.first").alias("first"), F.col("at.n").alias("n"), F.col("at.doc_id").alias("lo"), "hi").alias("x"))
+    wanted = materialize(wanted.groupBy("doc_id", "key").agg(F.collect_list("x").alias("want")), "wanted")
     # only texts with something to sort are shuffled, as long as their ids are few enough to send to every task
-    sources = texts.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi") if wanted.count() <= BROADCAST_ROWS else texts
-    if _repeated_ids(docs):
-        sources = sources.dropDuplicates(["doc_id"])
-    words = sources.join(wanted.hint("merge"), "doc_id").select("t", "want").mapInArrow(_words, "anchor long, seg long, lo long, hi long, words binary")
+    sources = texts.join(F.broadcast(wanted.select("doc_id", "key")), ["doc_id", "key"], "left_semi") if wanted.count() <= BROADCAST_ROWS else texts
+    words = sources.dropDuplicates(["doc_id", "key"]) if _repeated_ids(docs) else sources
+    words = words.join(wanted.hint("merge"), ["doc_id", "key"]).select("t", "want").mapInArrow(_words, "anchor long, seg long, lo long, hi long, words binary")
     found = words.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort, "anchor long, seg long, offset int, n int, origin long")
     found = materialize(found.withColumnRenamed("n", "starts"), "found")
-    spans = kept.join(found, ["anchor", "seg"]).select("doc_id", (F.col("first") + F.col("offset")).alias("a"), (F.col("first") + F.col("offset") + F.col("starts") + (LENGTH - 1)).alias("b"), "origin").distinct()
-    w = Window.partitionBy("doc_id").orderBy("a", "b")
+    spans = kept.join(found, ["anchor", "seg"]).select("doc_id", "key", (F.col("first") + F.col("offset")).alias("a"), (F.col("first") + F.col("offset") + F.col("starts") + (LENGTH - 1)).alias("b"), "origin").distinct()
+    w = Window.partitionBy("doc_id", "key").orderBy("a", "b")
     reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.when(reach >= F.col("a"), 0).otherwise(1)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = marked.groupBy("doc_id", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("origin").alias("origin"))
+    joined = marked.groupBy("doc_id", "key", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("origin").alias("origin"))
     return joined.select("doc_id", F.col("a").cast("long").alias("first_word"), (F.col("b") - F.col("a")).cast("long").alias("n_words"), "origin")
 
 
 def _repeated_ids(docs: DataFrame) -> bool:
-    return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,11 +224,11 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-p AS (SELECT doc_id, i - 1 AS a, md5(array_to_string(w[i : i + 49], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t WHERE len(w) >= 50)),
+WITH t AS (SELECT DISTINCT doc_id, md5(text) AS k, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+p AS (SELECT doc_id, k, i - 1 AS a, md5(array_to_string(w[i : i + 49], ' ')) AS g FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - 48)) AS i FROM t WHERE len(w) >= 50)),
 r AS (SELECT g, min(doc_id) AS origin FROM p GROUP BY g HAVING min(doc_id) < max(doc_id)),
-h AS (SELECT doc_id, a, a + 50 AS b, origin FROM p JOIN r USING (g)),
-m AS (SELECT *, CASE WHEN max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= a THEN 0 ELSE 1 END AS new FROM h),
-k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS island FROM m)
-SELECT doc_id, CAST(min(a) AS BIGINT) AS first_word, CAST(max(b) - min(a) AS BIGINT) AS n_words, min(origin) AS origin FROM k GROUP BY doc_id, island
+h AS (SELECT doc_id, k, a, a + 50 AS b, origin FROM p JOIN r USING (g)),
+m AS (SELECT *, CASE WHEN max(b) OVER (PARTITION BY doc_id, k ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= a THEN 0 ELSE 1 END AS new FROM h),
+z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, k ORDER BY a ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT doc_id, CAST(min(a) AS BIGINT) AS first_word, CAST(max(b) - min(a) AS BIGINT) AS n_words, min(origin) AS origin FROM z GROUP BY doc_id, k, island
 """
