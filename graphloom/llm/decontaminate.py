@@ -3,18 +3,24 @@
 Test items are partitioned by their number of shingles (powers of two). For a partition
 of items with at most m shingles, a document is read in windows of 2m shingles at a
 stride of m, so that a passage of m shingles lies in one window whole, however long the
-document is. Containment then bounds the Jaccard similarity of item and window from
-below, and each partition has the most selective banding that still finds that
-similarity with probability TARGET. A band of one row can only match in a window that
-holds the item's minimal shingle, so windows without any such shingle aren't hashed.
-Candidates are verified by exact containment: the share of the item's distinct shingles
-(as words, not hashes) that the document has.
+document is. Containment bounds the Jaccard similarity of item and window from below. For
+windows of twice the size this bound is so low (0.14 to 0.25 at containment 0.6) that bands of two
+samples would lose most items that are near the threshold; each of the SAMPLES samples is a band of
+its own, which finds an item at the threshold with probability 0.99 or more. A
+window can only match if it holds an item's minimal shingle, so windows without any such
+shingle aren't hashed. Candidates are verified by exact containment: the share of the item's
+distinct shingles (as words, not hashes) that the document has.
 
 Items of fewer than SHINGLE words are one shingle of their own length.
 
-Defined results: null or wordless documents and items match nothing; null ids are
-ignored; repeated rows give one row for each (doc_id, item_id); an empty table on
-either side gives an empty result.
+A benchmark beyond ITEMS_PER_PASS items or BYTES_PER_PASS of text is searched slice by
+slice; only a slice's index is sent to the tasks.
+
+Defined results: null or wordless documents and items match nothing; null ids are carried as
+null, and items without id are searched like others; repeated rows give one row for each
+(doc_id, item_id); different texts under one id, of documents or items, are compared each by
+itself, so a pair of ids can have several rows; ids are integers; an empty table on either
+side gives an empty result. Dropping removes a row by its id and text; a row without id stays.
 """
 
 from __future__ import annotations
@@ -29,15 +35,15 @@ from pyspark.sql import functions as F
 
 from graphloom.storage import materialize
 
-from .tables import hinted, lowered, read
+from .tables import hinted, lowered, read, with_ids
 from .text import Tokens, chunks, ngrams
 
 SHINGLE = 5
 SAMPLES = 32
 CONTAINMENT = 0.6
-TARGET = 0.99
-#: Items whose index is held in memory at once; a larger benchmark is searched slice by slice.
+#: Items and bytes of text whose index is held in memory at once; a larger benchmark is searched slice by slice.
 ITEMS_PER_PASS = 50_000
+BYTES_PER_PASS = 32 << 20
 
 _rng = np.random.RandomState(2)
 _A = _rng.randint(0, 1 << 62, SAMPLES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,20 +55,13 @@ def _minima(x: np.ndarray) -> np.ndarray:
     return x[..., None] * _A + _B
 
 
-def rows_per_band(m: int, threshold: float) -> int:
-    """The most rows of a band with which items of more than m / 2 shingles are still found with probability TARGET."""
-    q = m // 2 + 1
-    s = threshold * q / (2 * m + q * (1 - threshold))
-    return max([r for r in (1, 2, 4) if 1 - (1 - s**r) ** (SAMPLES // r) >= TARGET], default=1)
-
-
 class Index:
     """Bands of the items by shingle length and size partition, and the items' exact shingles."""
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = CONTAINMENT):
         self.threshold = threshold
         self.exact: dict[int, tuple[int, frozenset]] = {}
-        self.parts: dict[tuple[int, int], tuple[int, dict]] = {}
+        self.parts: dict[tuple[int, int], dict] = {}
         seeds = defaultdict(list)
         for item, text in items:
             tokens = Tokens(pa.array([text]))
@@ -73,11 +72,10 @@ class Index:
             words = tokens.words(0, len(tokens))
             self.exact[item] = (n, frozenset(b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)))
             m = 1 << max(0, int(len(grams) - 1).bit_length())
-            r = rows_per_band(m, threshold)
-            _, bands = self.parts.setdefault((n, m), (r, defaultdict(list)))
+            bands = self.parts.setdefault((n, m), defaultdict(list))
             values = _minima(grams)
             at = values.argmin(0)
-            for key in self._bands(values.min(0)[None], r)[0].tolist():
+            for key in self._bands(values.min(0)[None])[0].tolist():
                 bands[key].append(item)
             seeds[n].append(grams[at])
         self.seeds = {n: np.unique(np.concatenate(x)) for n, x in seeds.items()}
@@ -87,11 +85,8 @@ class Index:
             self.maps[n][(x & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     @staticmethod
-    def _bands(minima: np.ndarray, r: int) -> np.ndarray:
-        keys = minima[:, ::r].copy()
-        for k in range(1, r):
-            keys = keys * np.uint64(0x9E3779B97F4A7C15) + minima[:, k::r]
-        return keys + np.arange(keys.shape[1], dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    def _bands(minima: np.ndarray) -> np.ndarray:
+        return minima + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
     def search(self, tokens: Tokens) -> set[tuple[int, int]]:
         """Candidates (document, item)."""
@@ -108,7 +103,7 @@ class Index:
             at, doc, begin, count = at[inside], doc[inside], begin[inside], count[inside]
             if not len(at):
                 continue
-            for (k, m), (r, bands) in self.parts.items():
+            for (k, m), bands in self.parts.items():
                 if k != n:
                     continue
                 w = (at - begin) // m
@@ -118,7 +113,7 @@ class Index:
                     hi = np.minimum(lo + 2 * m, tokens.bounds[part[:, 0] + 1] - n + 1)
                     spread = lo[:, None] + np.arange(2 * m)
                     x = grams[np.minimum(spread, hi[:, None] - 1)]
-                    keys = self._bands(_minima(x).min(1), r)
+                    keys = self._bands(_minima(x).min(1))
                     for d, row in zip(part[:, 0].tolist(), keys.tolist()):
                         for key in row:
                             for item in bands.get(key, ()):
@@ -142,33 +137,41 @@ class Index:
                     yield d, item, hit, len(wanted)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, item_id, matched, shingles, containment) for each document that contains an item."""
+def _contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, d1, item_id, matched, shingles) for each text with an item; d1 is the text's hash."""
     spark = docs.sparkSession
-    items = materialize(lowered(benchmark.where("item_id IS NOT NULL AND text IS NOT NULL"), "item_id").dropDuplicates(["item_id"]), "items")
-    slices = max(1, -(-items.count() // ITEMS_PER_PASS))
-    source = lowered(docs.where("doc_id IS NOT NULL"), "doc_id")
+    items = materialize(lowered(with_ids(benchmark, "item_id").where("text IS NOT NULL"), "item_id").distinct(), "items")
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("t"))).head()
+    slices = max(1, -(-n // ITEMS_PER_PASS), -(-(size or 0) // BYTES_PER_PASS))
+    source = lowered(with_ids(docs).withColumn("d1", F.xxhash64("text")), "doc_id", "d1")
     out = None
     for k in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).collect()  # about ITEMS_PER_PASS
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["t"]) for r in rows], threshold))
+        rows = items.where(F.pmod(F.xxhash64("t"), F.lit(slices)) == k).orderBy("item_id", "t").collect()  # a slice's share
+        ids = pa.array([r["item_id"] for r in rows], pa.int64())
+        index = spark.sparkContext.broadcast(Index(list(enumerate(r["t"] for r in rows)), threshold))
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index, ids=ids) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, "t"):
                 hits = list(index.value.matches(Tokens(batch.column("t"))))
                 if hits:
                     d, item, hit, size = map(np.array, zip(*hits))
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array(item), pa.array(hit), pa.array(size)], ["doc_id", "item_id", "matched", "shingles"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), batch.column("d1").take(pa.array(d)), ids.take(pa.array(item)), pa.array(hit), pa.array(size)], ["doc_id", "d1", "item_id", "matched", "shingles"])
 
-        part = source.mapInArrow(run, "doc_id long, item_id long, matched long, shingles long")
+        part = source.mapInArrow(run, "doc_id long, d1 long, item_id long, matched long, shingles long")
         out = part if out is None else out.unionAll(part)
-    return out.distinct().withColumn("containment", F.round(F.col("matched") / F.col("shingles"), 6))
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
+    """(doc_id, item_id, matched, shingles, containment) for each document that contains an item."""
+    return _contaminated(docs, benchmark, threshold).drop("d1").distinct().withColumn("containment", F.round(F.col("matched") / F.col("shingles"), 6))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item."""
-    gone = materialize(contaminated(docs, benchmark, threshold).select("doc_id").distinct(), "gone")
-    return docs.join(hinted(gone), "doc_id", "left_anti").select(*docs.columns)
+    gone = _contaminated(docs, benchmark, threshold).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id"), F.col("d1").alias("gone_d1"))
+    gone = hinted(materialize(gone.distinct(), "gone"))
+    return docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_d1")), "left_anti").select(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,12 +179,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH t AS (SELECT doc_id AS id, false AS item, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents
-           UNION ALL SELECT item_id, true, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') FROM benchmark),
-p AS (SELECT id, item, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5),
-s AS (SELECT DISTINCT id, item, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g FROM p),
-n AS (SELECT id, count(*) AS shingles FROM s WHERE item GROUP BY id),
-h AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS matched FROM s d JOIN s b ON d.g = b.g WHERE b.item AND NOT d.item GROUP BY 1, 2)
-SELECT doc_id, item_id, matched, shingles, round(matched / shingles, 6) AS containment FROM h JOIN n ON n.id = h.item_id
+WITH t AS (SELECT DISTINCT doc_id AS id, false AS item, md5(text) AS k, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents
+           UNION ALL SELECT DISTINCT item_id, true, md5(lower(text)), regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') FROM benchmark),
+p AS (SELECT id, item, k, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5),
+s AS (SELECT DISTINCT id, item, k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g FROM p),
+n AS (SELECT id, k, count(*) AS shingles FROM s WHERE item GROUP BY id, k),
+h AS (SELECT d.id AS doc_id, d.k AS dk, b.id AS item_id, b.k AS bk, count(*) AS matched FROM s d JOIN s b ON d.g = b.g WHERE b.item AND NOT d.item GROUP BY 1, 2, 3, 4)
+SELECT DISTINCT doc_id, item_id, matched, shingles, round(matched / shingles, 6) AS containment FROM h JOIN n ON n.k = h.bk AND n.id IS NOT DISTINCT FROM h.item_id
 WHERE matched >= 0.6 * shingles
 """

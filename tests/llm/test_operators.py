@@ -122,7 +122,9 @@ def test_repeats_against_brute_force(spark):
 def test_decontaminate(hard, none, spark):
     item = " ".join(prose(1, 60_000)[31_000:31_030])
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "one"), (5, item), (5, item), (None, item)], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
-    got = pairs(decontaminate.contaminated(hard, bench), "doc_id", "item_id", "containment")
+    found = decontaminate.contaminated(hard, bench)
+    assert pairs(found.where("item_id IS NULL"), "doc_id", "containment") == [(7, 1.0), (8, 1.0)]
+    got = pairs(found.where("item_id IS NOT NULL"), "doc_id", "item_id", "containment")
     assert got == [(5, 4, 1.0), (6, 4, 1.0), (7, 1, 1.0), (7, 5, 1.0), (8, 1, 1.0), (8, 5, 1.0), (10, 4, 1.0)]
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(hard, bench.where("false")).count() == 0
     kept = decontaminate.drop_contaminated(hard, bench)
