@@ -1,27 +1,33 @@
 """Exact deduplication against immutable snapshots, screened by binary-fuse filters.
 
-A snapshot is a set of text digests, cut into shards by digest. Each shard has a
-static 3-wise binary-fuse filter with 16-bit fingerprints. Incoming digests probe
-the filter of their shard; only positives join the snapshot's exact buckets, and a
-pair counts only if the whole texts are equal. Texts that occur twice in the new
-batch are grouped separately, without touching the snapshot.
+A snapshot is made once of a table: its exact buckets (the doc_ids of each digest) and, for each shard of digests, a static 3-wise binary-fuse filter with 16-bit
+fingerprints. Both are written and never change; any number of batches are screened against
+what is stored. Incoming digests probe the filter of their shard; only positives join the
+exact buckets, and a pair counts only if the whole texts are equal. Texts that occur twice in
+the new batch are grouped separately, without touching the snapshot.
+
+Digests have 128 bits. Texts are compared whole by grouping the candidates by the text itself;
+the groups then go back to the rows by digest, or, where two texts share a digest, by text.
 
 Defined results: a null text or null doc_id is never reported; empty texts equal
 each other; the first document of a group is the one with the least doc_id;
-repeated rows (same doc_id and text) count as one document; texts of any length
-are compared whole; an empty table gives an empty result.
+repeated rows (same doc_id and text) count as one document; different texts under one doc_id
+are taken each by itself; texts of any length are compared whole; ids are integers; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.storage import materialize
+from graphloom.storage import materialize, new_path
 
-from .tables import digest, hinted, read
+from .tables import digest, hinted, read, with_ids
 from .text import mix
 
 #: Digests in one shard, so in one filter of about 2.3 MB.
@@ -112,59 +118,137 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
     return incoming.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(probe, "d1 long, d2 long")
 
 
+@dataclass
+class Snapshot:
+    """What is stored of a table (``filters``, ``buckets``: d1, d2, doc_id), and the table (``texts``: doc_id, text), which mustn't change."""
+
+    filters: DataFrame
+    buckets: DataFrame
+    texts: DataFrame
+    shards: int
+
+
+def _shard(shards: int):
+    return F.pmod(F.xxhash64("d1"), F.lit(shards)).cast("int").alias("shard")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return with_ids(docs).select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+
+def _digests(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written digests of all rows (doc_id, d1, d2), and each digest with its least and greatest doc_id."""
+    keys = materialize(texts.select("doc_id", *digest()), "digests")
+    # a copy made thousands of times combines before the shuffle
+    return keys, materialize(keys.groupBy("d1", "d2").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")), "distinct")
+
+
+def build_snapshot(docs: DataFrame, path: str | None = None, keys_per_shard: int = KEYS_PER_SHARD) -> Snapshot:
+    """Make the snapshot of ``docs`` and write it to ``path`` (a folder of this session by default)."""
+    return _build(docs, path, keys_per_shard)[0]
+
+
+def _build(docs: DataFrame, path: str | None, keys_per_shard: int) -> tuple[Snapshot, DataFrame, DataFrame]:
+    texts = _texts(docs)
+    keys, distinct = _digests(texts)
+    shards = max(1, -(-distinct.count() // keys_per_shard))
+    path = path or new_path(docs.sparkSession, "snapshot")
+    keys.select(_shard(shards), "d1", "d2", "doc_id").write.parquet(f"{path}/buckets")
+    buckets = docs.sparkSession.read.parquet(f"{path}/buckets")
+    build_filters(buckets.select("shard", "d1").distinct()).withColumn("shards", F.lit(shards)).write.parquet(f"{path}/filters")
+    return load_snapshot(path, docs), keys, distinct
+
+
+def load_snapshot(path: str, docs: DataFrame) -> Snapshot:
+    """The snapshot of ``docs`` that is stored at ``path``."""
+    spark = docs.sparkSession
+    filters = spark.read.parquet(f"{path}/filters")
+    first = filters.select("shards").head()
+    return Snapshot(filters.drop("shards"), spark.read.parquet(f"{path}/buckets").drop("shard"), _texts(docs), first[0] if first else 1)
+
+
+def _groups(texts: DataFrame, wanted: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, keep_id, d1, d2) for the rows of ``texts`` whose digest is in ``wanted``: keep_id is the least doc_id with that very text."""
+    ids = hinted(materialize(keys.join(hinted(wanted), ["d1", "d2"], "left_semi").select("doc_id").distinct(), "candidates"))
+    near = texts.join(ids, "doc_id", "left_semi")
+    same = near.groupBy("text").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).where("keep_id < last")
+    same = materialize(same.select(*digest(), "keep_id"), "same")  # the byte check is this grouping by the texts themselves
+    clash = materialize(same.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2"), "clash")
+    out = keys.join(hinted(same), ["d1", "d2"]).select("doc_id", "keep_id", "d1", "d2")
+    if clash.isEmpty():
+        return out
+    # two texts with one digest: their rows go back by the text
+    text = texts.select("doc_id", "text", *digest()).join(hinted(clash), ["d1", "d2"], "left_semi")
+    least = text.groupBy("text").agg(F.min("doc_id").alias("keep_id"))
+    return out.join(hinted(clash), ["d1", "d2"], "left_anti").unionByName(text.join(least, "text").select("doc_id", "keep_id", "d1", "d2"))
+
+
+def batch_copies(batch: DataFrame, keys: DataFrame | None = None, distinct: DataFrame | None = None) -> DataFrame:
+    """(doc_id, keep_id, d1, d2) for each row of ``batch`` whose text a row with a lesser doc_id of the batch has."""
+    texts = _texts(batch)
+    if keys is None or distinct is None:
+        keys, distinct = _digests(texts)
+    wanted = materialize(distinct.where("keep_id < last").select("d1", "d2"), "repeated")
+    return _groups(texts, wanted, keys).where("doc_id <> keep_id")
+
+
+def screen_batch(batch: DataFrame, snapshot: Snapshot, keys: DataFrame | None = None, distinct: DataFrame | None = None) -> DataFrame:
+    """(doc_id, keep_id, d1, d2) for each row of ``batch`` whose text the snapshot has; keep_id is the least doc_id there."""
+    texts = _texts(batch)
+    if keys is None or distinct is None:
+        keys, distinct = _digests(texts)
+    positive = screen(distinct.select(_shard(snapshot.shards), "d1", "d2"), snapshot.filters)
+    bucket = materialize(snapshot.buckets.join(hinted(materialize(positive, "positive")), ["d1", "d2"], "left_semi"), "bucket")
+    hits = materialize(bucket.select("d1", "d2").distinct(), "hits")
+    # whole texts of the hits on both sides; copies combine before the shuffle
+    old = snapshot.texts.join(hinted(materialize(bucket.select("doc_id").distinct(), "old-ids")), "doc_id", "left_semi").select("text", F.col("doc_id").alias("keep_id"))
+    ids = hinted(materialize(keys.join(hinted(hits), ["d1", "d2"], "left_semi").select("doc_id").distinct(), "new-ids"))
+    new = texts.join(ids, "doc_id", "left_semi").select("text", F.lit(None).cast("long").alias("keep_id"))
+    both = old.unionAll(new).groupBy("text").agg(F.min("keep_id").alias("keep_id"), F.count_if(F.col("keep_id").isNull()).alias("n"))
+    found = materialize(both.where("keep_id IS NOT NULL AND n > 0").select(*digest(), "keep_id", F.sha2("text", 256).alias("exact")), "found")
+    clash = materialize(found.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2"), "clash")
+    out = keys.join(hinted(found.drop("exact")), ["d1", "d2"]).select("doc_id", "keep_id", "d1", "d2")
+    if clash.isEmpty():
+        return out
+    rows = texts.select("doc_id", *digest(), F.sha2("text", 256).alias("exact")).join(hinted(clash), ["d1", "d2"], "left_semi")
+    return out.join(hinted(clash), ["d1", "d2"], "left_anti").unionByName(rows.join(found, ["d1", "d2", "exact"]).select("doc_id", "keep_id", "d1", "d2"))
+
+
 def exact_duplicates(docs: DataFrame, first_new_id: int | None = None, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
     """Duplicates of ``docs`` as (doc_id, keep_id, found); see ``_duplicates``."""
-    return _duplicates(docs, first_new_id, keys_per_shard).select("doc_id", "keep_id", "found")
+    return _duplicates(docs, first_new_id, keys_per_shard).select("doc_id", "keep_id", "found").distinct()
 
 
 def _duplicates(docs: DataFrame, first_new_id: int | None = None, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
     """Duplicates of ``docs`` as (doc_id, keep_id, d1, d2, found).
 
-    Documents below ``first_new_id`` are the snapshot (the middle of the id range by
-    default), the others the new batch. ``found``: 'snapshot' for a new document whose
+    Documents below ``first_new_id`` are made a snapshot (the lower half of the id range by
+    default), the others are the new batch. ``found``: 'snapshot' for a new document whose
     text the snapshot has, 'batch' for a new one that repeats another new one,
     'archive' for a repeat inside the snapshot itself.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = with_ids(docs).select("doc_id", "text")
     if first_new_id is None:
-        lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).head()
+        lo, hi = docs.where("text IS NOT NULL").agg(F.min("doc_id"), F.max("doc_id")).head()
         first_new_id = 0 if lo is None else (lo + hi) // 2 + 1
-    keys = materialize(docs.select("doc_id", *digest(), (F.col("doc_id") >= first_new_id).alias("new")), "digests")
-    # one row for each digest and side; a copy made thousands of times combines before the shuffle
-    sides = keys.groupBy("d1", "d2", "new").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    sides = materialize(sides, "sides")
-    rows = {r["new"]: r["n"] for r in sides.groupBy("new").agg(F.count("*").alias("n")).collect()}
-    shards = max(1, -(-max(rows.values(), default=1) // keys_per_shard))
-    shard = F.pmod(F.xxhash64("d1"), F.lit(shards)).cast("int").alias("shard")
-    old, new = (sides.where("NOT new"), sides.where("new"))
-    filters = build_filters(old.select(shard, "d1").distinct())
-    positive = screen(new.select(shard, "d1", "d2"), filters)
-    buckets = old.select("d1", "d2")
-    hits = positive.join(buckets, ["d1", "d2"], "left_semi")
-    repeated = sides.where("first < last").select("d1", "d2")  # inside one side
-    wanted = materialize(hits.unionAll(repeated).distinct(), "wanted")
-    # the byte check: group by the texts themselves, for candidate digests only
-    ids = materialize(keys.join(hinted(wanted), ["d1", "d2"], "left_semi").select("doc_id").distinct(), "candidates")
-    texts = docs.join(hinted(ids), "doc_id", "left_semi")
-    groups = texts.groupBy("text").agg(F.min("doc_id").alias("keep_id"), F.collect_set("doc_id").alias("ids"))
-    return (
-        groups.where(F.size("ids") > 1)
-        .select(F.explode("ids").alias("doc_id"), "keep_id", *digest())
-        .where("doc_id <> keep_id")
-        .withColumn("found", F.when(F.col("doc_id") < first_new_id, "archive").when(F.col("keep_id") < first_new_id, "snapshot").otherwise("batch"))
-    )
+    old, new = docs.where(F.col("doc_id") < first_new_id), docs.where(F.col("doc_id") >= first_new_id)
+    snapshot, old_keys, old_distinct = _build(old, None, keys_per_shard)
+    keys, distinct = _digests(_texts(new))
+    archive = batch_copies(old, old_keys, old_distinct).withColumn("found", F.lit("archive"))
+    hits = materialize(screen_batch(new, snapshot, keys, distinct), "snapshot-hits")
+    batch = batch_copies(new, keys, distinct).join(hinted(hits.select("doc_id", "d1", "d2").distinct()), ["doc_id", "d1", "d2"], "left_anti")
+    return archive.unionByName(hits.withColumn("found", F.lit("snapshot"))).unionByName(batch.withColumn("found", F.lit("batch")))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row for each text: the one with the least doc_id. Rows whose text or doc_id is null stay."""
-    gone = hinted(materialize(_duplicates(docs).select(F.col("doc_id").alias("gone_id"), "d1", "d2"), "gone"))
+    gone = hinted(materialize(_duplicates(docs).select(F.col("doc_id").alias("gone_id"), F.col("d1").alias("gone_d1"), F.col("d2").alias("gone_d2")).distinct(), "gone"))
     d1, d2 = digest()
-    kept = docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (d1 == gone["d1"]) & (d2 == gone["d2"]), "left_anti")
+    kept = docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (d1 == F.col("gone_d1")) & (d2 == F.col("gone_d2")), "left_anti")
     # rows repeated under one id: only those ids are shuffled
     twice = materialize(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
-        return kept
+        return kept.select(*docs.columns)
     twice = hinted(twice)
     return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionAll(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
