@@ -5,11 +5,15 @@ full piece is a sequence of its own. The others are packed by best-fit decreasin
 partitions of bounded size. Dual-feasible functions give a lower bound on each
 partition's sequences; a partition that meets its bound is certified optimal. The
 partitions with a gap exchange their documents (a new hash each round) and run again;
-the new packing replaces theirs if it needs fewer sequences.
+the new packing replaces theirs if it needs fewer sequences. The exchange ends when no two
+partitions have a gap, when it gains nothing, or after ROUNDS; a gap that is left shows in the
+result, as bins_in_part above lower_bound.
 
 Defined results: a null or wordless text has no piece; repeated rows are packed each;
-ties in length go to the lower doc_id, then the lower piece; null doc_ids are packed
-last; an empty table gives an empty result.
+ties in length go to the lower doc_id, then the lower piece, then the earlier row; null
+doc_ids are packed last among equal lengths; rows spread over the partitions by their place in
+the table too, so many rows with one id or none fill no partition; ids are integers; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from graphloom.storage import materialize
 
-from .tables import read
+from .tables import read, with_ids
 from .text import Tokens, chunks
 
 CAPACITY = 2048
@@ -74,39 +78,39 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return bound
 
 
-_PACKED = "part long, doc_id long, piece int, n_tokens int, bin long, bin_offset int, bins long, bound long"
+_PACKED = "part long, doc_id long, row long, piece int, n_tokens int, bin long, bin_offset int, bins long, bound long"
 
 
 def _pack(capacity: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable")
         sizes = pdf["n_tokens"].to_numpy()
         bins, offsets, made = best_fit_decreasing(sizes, capacity)
-        return pdf[["part", "doc_id", "piece", "n_tokens"]].assign(bin=bins, bin_offset=offsets, bins=made, bound=lower_bound(sizes, capacity))
+        return pdf[["part", "doc_id", "row", "piece", "n_tokens"]].assign(bin=bins, bin_offset=offsets, bins=made, bound=lower_bound(sizes, capacity))
 
     return pack
 
 
 def lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, n): words of each document, split at white space."""
+    """(doc_id, row, n): words of each document, split at white space, and its place in the table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(Tokens(batch.column("text"), by_space=True).counts)], ["doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(Tokens(batch.column("text"), by_space=True).counts)], ["doc_id", "row", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n long")
+    return with_ids(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(count, "doc_id long, row long, n long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, pieces_per_partition: int = PIECES_PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
     """A row for each piece: doc_id, piece, first_token, n_tokens, and its place: part, bin, bin_offset; with the part's bins and certified bound (bins_in_part, lower_bound)."""
     sized = lengths(docs).where("n > 0")
-    pieces = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
-    pieces = materialize(pieces.select("doc_id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("n_tokens")), "pieces")
+    pieces = sized.select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
+    pieces = materialize(pieces.select("doc_id", "row", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("n_tokens")), "pieces")
     parts = max(1, -(-pieces.count() // pieces_per_partition))
 
     def arrange(df: DataFrame, n: int, turn: int) -> DataFrame:
-        part = F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(n)).alias("part")
-        return materialize(df.select(part, "doc_id", "piece", "n_tokens").groupBy("part").applyInPandas(_pack(capacity), _PACKED), "packed")
+        part = F.pmod(F.xxhash64("doc_id", "row", "piece", F.lit(turn)), F.lit(n)).alias("part")
+        return materialize(df.select(part, "doc_id", "row", "piece", "n_tokens").groupBy("part").applyInPandas(_pack(capacity), _PACKED), "packed")
 
     current = arrange(pieces, parts, 0)
     done: list[tuple[int, DataFrame]] = []
