@@ -3,15 +3,19 @@
 Tokens are split at white space. Features are hashed: the collapsed shape (runs of
 character classes), the full shape of short tokens, the set of classes with the length,
 whether there is an @ or a digit, digit counts, the shapes on both sides and the word before. The field is trained once
-per run from the small labelled table ``labelled_rows`` and decoded by Viterbi in numpy
-batches over whole texts.
-
-Kinds: email, ip, card, phone, secret, ssn. Tokens of one phone or card number follow
-each other as begin and inside.
-
-Defined results: a null or empty text, or one of white space, has no row; a null doc_id
-is carried as null; repeated rows give repeated results; ties in decoding go to the
-lower state ('no data' first); an empty table gives an empty result.
+per run from a small labelled table, ``labelled_rows`` or the caller's own, and decoded by
+Viterbi in numpy batches over whole texts.
+
+Kinds: email, ip, card, phone, secret, ssn, iban. Tokens of one phone, card or account number
+follow each other as begin and inside. What the field marks as a card must also pass the check
+digit (Luhn), and an IBAN its remainder; a card has 13 to 19 digits, a secret 8 characters, else it isn't
+reported; dates run together and book numbers so go. ``redact`` puts ``[KIND]`` in the place
+of every entity.
+
+Defined results: a null or empty text, or one of white space, has no row (and stays as it is
+when redacted); a null doc_id is carried as null; repeated rows give repeated results, two
+texts of one doc_id each their own; ties in decoding go to the lower state ('no data' first);
+ids are integers; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import crf
-from .tables import read
+from .tables import read, with_ids
 from .text import Tokens, chunks, mix, span_hashes
 
 BUCKETS = 1 << 16
-STATES = ["", "email", "ip", "card", "card+", "phone", "phone+", "secret", "ssn"]
-_KIND = np.array([0, 1, 2, 3, 3, 5, 5, 7, 8])
+STATES = ["", "email", "ip", "card", "card+", "phone", "phone+", "secret", "ssn", "iban", "iban+"]
+_KIND = np.array([0, 1, 2, 3, 3, 5, 5, 7, 8, 9, 9])
 _INSIDE = np.array([s.endswith("+") for s in STATES])
 _CLASS = np.full(256, 15, np.uint8)
 for _k, _chars in enumerate(["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "", "@", ".", "-", "+", "(", ")", "\"'`", "=", ":/", "_"], 1):
@@ -46,16 +50,27 @@ def labelled_rows(n: int = 1500, seed: int = 10) -> list[tuple[list[str], list[i
     pick = lambda *x: x[r.randint(len(x))]
     digits = lambda k: "".join(map(str, r.randint(0, 10, k)))
     word = lambda most=5: "".join(pick("an", "er", "th", "ion", "re", "de", "la", "é", "ü", "ch", "os", "ent", "qu", "st") for _ in range(r.randint(1, most)))
-    tail = lambda: pick("", "", ",", ".", "###", "$$$", "&&&", "%%%", "***", "!!", ";", ",!!", ".###")
+    tail = lambda: pick("", "", ",", ".", "###", "$$$", "&&&", "%%%", "***", "!!", ";", ":", ",!!", ".###", ":", ")", ">", "?", "!")
     S = {s: i for i, s in enumerate(STATES)}
+    letters = lambda k, of="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(r.choice(list(of), k))
 
     def entity() -> tuple[list[str], list[int]]:
-        kind = r.randint(0, 12)
+        kind = r.randint(0, 14)
+        if kind == 12:
+            number = pick("DE", "FR", "GB", "ES", "NL", "CH") + digits(2) + pick("", letters(4, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) + digits(pick(14, 16, 18))
+            if r.rand() < 0.5:
+                return [number], [S["iban"]]
+            parts = [number[i : i + 4] for i in range(0, len(number), 4)]
+            return parts, [S["iban"]] + [S["iban+"]] * (len(parts) - 1)
+        if kind == 13:
+            if r.rand() < 0.5:
+                return [":".join(letters(pick(1, 3, 4, 4), "0123456789abcdef") for _ in range(8))], [S["ip"]]
+            return [f"{letters(4, '0123456789abcdef')}:{letters(4, '0123456789abcdef')}::{letters(pick(1, 4), '0123456789abcdef')}"], [S["ip"]]
         if kind < 2:
-            name = pick(f"{word()}.{digits(2)}", f"{word()}_{word()}", word() + digits(r.randint(0, 3)), f"{word()}.{word()}", f"{word()}+{word()}")
-            return [pick("", "", "<", "(") + f"{name}@{pick('mail', word())}{digits(r.randint(0, 2))}.{pick('example.', '', word() + '.')}{pick('com', 'org', 'net', 'de', 'io')}"], [S["email"]]
+            name = pick(f"{word()}.{digits(2)}", f"{word()}_{word()}", word() + digits(r.randint(0, 3)), f"{word()}.{word()}", f"{word()}+{word()}", word(), word(3), f"{word(2)}.{word()}")
+            return [pick("", "", "<", "(") + f"{name}@{pick('mail', word())}{digits(r.randint(0, 2))}.{pick('example.', '', word() + '.')}{pick('com', 'org', 'net', 'de', 'io', 'com', 'org', 'net', 'edu', 'co.uk', 'es', 'fr', 'gov', 'info')}"], [S["email"]]
         if kind < 4:
-            return [pick("", "", "[", "(") + ".".join(str(r.randint(0, 256)) for _ in range(4)) + pick("", "", "", ":" + digits(4))], [S["ip"]]
+            return [pick("", "", "[", "(") + ".".join(str(r.randint(0, pick(10, 100, 256, 256))) for _ in range(4)) + pick("", "", "", ":" + digits(4), ":")], [S["ip"]]
         if kind < 6:
             n = pick(16, 16, 16, 15, 13)
             return [pick("3", "4", "5", "2", "6") + digits(n - 1)], [S["card"]]
@@ -76,11 +91,13 @@ def labelled_rows(n: int = 1500, seed: int = 10) -> list[tuple[list[str], list[i
             code = "".join(pick(*"0123456789abcdef") for _ in range(pick(32, 40, 40, 64)))
             if r.rand() < 0.6:
                 return [pick("token", "token", "key", "secret", "password"), "=", f'"{code}"'], [0, 0, S["secret"]]
-            return [pick("", '"') + pick(code, "sk_" + code, "AKIA" + code[:16].upper())], [S["secret"]]
+            return [pick("", '"', "token=", "password:", "api_key=") + pick(code, "sk_live_" + code[:24], "AKIA" + code[:16].upper(), "ghp_" + letters(36), "xoxb-" + digits(11) + "-" + letters(24), letters(pick(32, 40)))], [S["secret"]]
         return [f"{digits(3)}-{digits(2)}-{digits(4)}"], [S["ssn"]]
 
     def plain() -> str:
-        k = r.randint(0, 60)
+        k = r.randint(0, 75)
+        if k > 59:  # what looks like personal data and isn't
+            return [digits(pick(9, 10, 11, 12)), f"{digits(3)}-{digits(1)}-{digits(5)}-{digits(3)}-{digits(1)}", f"20{digits(2)}{digits(2)}{digits(2)}", f"@{word()}", f"v{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(2)}.{digits(2)}.20{digits(2)}", f"{digits(1)},{digits(3)},{digits(3)}", word(10) + "_" + word(8), f"#{letters(6, '0123456789abcdef')}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(4)}-{digits(4)}", word(9).capitalize() + word(6).capitalize(), f"${digits(3)}.{digits(2)}", f"{word()}.{pick('py', 'html', 'txt')}", f"/{word()}/{word()}/{word()}.{pick('png', 'css')}"][k - 60]
         if k > 11:
             w = word(10) if k < 56 else pick("a", "e", "é", "I", "o", "y")
             return pick(w, w, w, w.capitalize(), w.upper())
@@ -174,7 +191,36 @@ def decode(model: tuple, tokens: Tokens) -> np.ndarray:
     return crf.viterbi(emission, tokens.counts, start, trans)
 
 
-_EDGE = {1: "@._-+", 2: ".", 3: "", 5: "+()", 7: "_", 8: ""}
+_EDGE = {1: "@._-+", 2: ".:", 3: "", 5: "+()", 7: "_", 8: "", 9: ""}
+
+
+def luhn(digits: str) -> bool:
+    """Whether the check digit of a card number holds."""
+    total = sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def iban(value: str) -> bool:
+    """Whether an account number's remainder is 1."""
+    code = "".join(c for c in value.upper() if c.isalnum() and c.isascii())
+    return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
+def _valid(kind: int, value: str) -> bool:
+    if kind == 3:
+        digits = "".join(c for c in value if c.isdigit() and c.isascii())
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return len(value) >= 8 if kind == 7 else kind != 9 or iban(value)
+
+
+def _core(raw: str, lead: str, tail: str) -> tuple[int, int]:
+    """Where the entity stands in its tokens, without marks around it."""
+    a, b = 0, len(raw)
+    while a < b and not (raw[a].isalnum() or raw[a] in lead):
+        a += 1
+    while b > a and not (raw[b - 1].isalnum() or raw[b - 1] in tail):
+        b -= 1
+    return a, b
 
 
 def find(model: tuple, column: pa.Array) -> Iterator[tuple[int, str, int, int, str]]:
@@ -194,22 +240,23 @@ def find(model: tuple, column: pa.Array) -> Iterator[tuple[int, str, int, int, s
     for b, e in zip(begin.tolist(), end.tolist()):
         lo, hi = int(tokens.starts[hits[b]]), int(tokens.ends[hits[e]])
         raw = tokens.data[lo:hi].tobytes().decode()
-        ok = _EDGE[int(kind[b])]
-        core = raw
-        while core and not (core[0].isalnum() or core[0] in ok):
-            core = core[1:]
-        lead = len(raw) - len(core)
-        while core and not (core[-1].isalnum() or core[-1] in (")" if ok == "+()" else "")):
-            core = core[:-1]
-        if core:
+        k, last = int(kind[b]), int(kind[b]) == 7 and "=" in raw
+        skip = raw.rindex("=", 0, -1) + 1 if last and "=" in raw[:-1] else 0  # a secret's name
+        x, y = _core(raw[skip:], _EDGE[k], ")" if k == 5 else "")
+        core = raw[skip + x : skip + y]
+        if core and _valid(k, core):
             base = int(tokens.offsets[doc[b]])
-            first = int(chars[lo - 1] if lo else 0) - int(chars[base - 1] if base else 0) + lead
-            yield int(doc[b]), STATES[int(kind[b])], first, len(core), core
+            first = int(chars[lo - 1] if lo else 0) - int(chars[base - 1] if base else 0) + skip + x
+            yield int(doc[b]), STATES[k], first, len(core), core
+
 
+def _model(docs: DataFrame, rows: list[tuple[list[str], list[int]]] | None):
+    return docs.sparkSession.sparkContext.broadcast(fit(rows) if rows else train())  # a table of fixed size
 
-def personal_data(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, first_char, n_chars, value) of all personal data; first_char counts characters from 0."""
-    model = docs.sparkSession.sparkContext.broadcast(train())  # a table of fixed size
+
+def personal_data(docs: DataFrame, rows: list[tuple[list[str], list[int]]] | None = None) -> DataFrame:
+    """(doc_id, kind, first_char, n_chars, value) of all personal data; first_char counts characters from 0. ``rows``: labelled token lists in place of ``labelled_rows``."""
+    model = _model(docs, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -218,7 +265,31 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 at, kind, first, size, value = zip(*rows)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(kind), pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(value)], ["doc_id", "kind", "first_char", "n_chars", "value"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, kind string, first_char long, n_chars long, value string")
+    return with_ids(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, kind string, first_char long, n_chars long, value string")
+
+
+def redact(docs: DataFrame, rows: list[tuple[list[str], list[int]]] | None = None) -> DataFrame:
+    """``docs`` with every entity in ``text`` replaced by its kind, as ``[EMAIL]``."""
+    model = _model(docs, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            spans: dict[int, list[tuple[str, int, int]]] = {}
+            for at, kind, first, size, _ in find(model.value, batch.column("text")):
+                spans.setdefault(at, []).append((kind, first, size))
+            if spans:
+                texts = batch.column("text").to_pylist()
+                for at, found in spans.items():
+                    out, end, text = [], 0, texts[at]
+                    for kind, first, size in found:
+                        out += [text[end:first], f"[{kind.upper()}]"]
+                        end = first + size
+                    texts[at] = "".join(out) + text[end:]
+                k = batch.schema.get_field_index("text")
+                batch = batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

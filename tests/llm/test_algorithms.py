@@ -188,9 +188,9 @@ def test_pii_on_held_out_rows():
     truth = np.concatenate([np.array(t) for _, t in rows])
     got = pii.decode(model, tokens)
     assert (got == truth).mean() > 0.99
-    texts = ["é mail bob.77@mail3.example.com, now", None, "", "call +1 (743) 555-3824 or 152.143.123.131!!", 'token = "' + "a1b2c3d4e5" * 4 + '"###', "plain words only 2024 3.5", "4785380592391139 " * 2]
+    texts = ["é mail bob.77@mail3.example.com, now", None, "", "call +1 (743) 555-3824 or 152.143.123.131!!", 'token = "' + "a1b2c3d4e5" * 4 + '"###', "plain words only 2024 3.5", "4845168114407329 " * 2]
     found = list(pii.find(model, pa.array(texts)))
-    assert [(r, k, v) for r, k, _, _, v in found] == [(0, "email", "bob.77@mail3.example.com"), (3, "phone", "+1 (743) 555-3824"), (3, "ip", "152.143.123.131"), (4, "secret", "a1b2c3d4e5" * 4), (6, "card", "4785380592391139"), (6, "card", "4785380592391139")]
+    assert [(r, k, v) for r, k, _, _, v in found] == [(0, "email", "bob.77@mail3.example.com"), (3, "phone", "+1 (743) 555-3824"), (3, "ip", "152.143.123.131"), (4, "secret", "a1b2c3d4e5" * 4), (6, "card", "4845168114407329"), (6, "card", "4845168114407329")]
     assert all(texts[r][a : a + n] == v for r, _, a, n, v in found)
 
 
