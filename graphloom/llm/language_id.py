@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import crf
-from .tables import read
+from .tables import read, with_ids
 from .text import Tokens, chunks, mix, span_hashes
 
 DOCS_PER_LANG = 250
@@ -233,7 +233,7 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "lang", "confidence", "n_words", "accepted", "spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _LABELS)
+    return with_ids(docs).select("doc_id", "text").mapInArrow(run, _LABELS)
 
 
 def keep_known_languages(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,6 +1,6 @@
 """License scan with a positional rare-token index.
 
-Each template is a notice with mandatory key phrases. The index has, for each phrase, its
+Each template is a notice, or the whole text of a short license, with mandatory key phrases. The index has, for each phrase, its
 RARE words of highest inverse document frequency, with their position in the template;
 frequencies are counted over the whole table first. A file's words that the index knows
 are looked up, rarest first; postings that put a template at the same place of the file
@@ -9,7 +9,7 @@ compared word by word. As the indexed words are part of mandatory phrases, nothi
 has the phrases is missed.
 
 Defined results: null, empty and wordless texts have no license; a null doc_id is carried
-as null; repeated rows give repeated results; of several places of one license in a file
+as null; repeated rows give repeated results, two texts of one doc_id each their own; of several places of one license in a file
 the first is reported; ties in frequency go to the word that is first in the alphabet; an
 empty table gives an empty result.
 """
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import lowered, read
+from .tables import lowered, read, with_ids
 from .text import Tokens, chunks, word_hash
 
 RARE = 3
@@ -52,6 +52,57 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "licensed under [cc by nc 4 0]"),
     ("CC0-1.0", "released under [cc0 1 0]"),
     ("Unlicense", "this is [free and unencumbered software released into the public domain]"),
+    ("BSD-2-Clause", "licensed under the [bsd 2 clause license]"),
+    ("LGPL-2.1", "the [gnu lesser general public license] as published by the free software foundation either [version 2 1 of the license]"),
+    ("LGPL-3.0", "the [gnu lesser general public license] as published by the free software foundation either [version 3 of the license]"),
+    ("AGPL-3.0", "the [gnu affero general public license] as published by the free software foundation either [version 3 of the license]"),
+    ("EPL-2.0", "under the terms of the [eclipse public license 2 0]"),
+    ("EPL-2.0", "under the terms of the [eclipse public license v 2 0]"),
+    ("EUPL-1.2", "licensed under the [european union public licence v 1 2]"),
+    ("Artistic-2.0", "licensed under the [artistic license 2 0]"),
+    ("BSL-1.0", "distributed under the [boost software license version 1 0]"),
+    ("OFL-1.1", "licensed under the [sil open font license version 1 1]"),
+    ("WTFPL", "licensed under the [do what the fuck you want to public license]"),
+    ("CC-BY-4.0", "[creative commons attribution 4 0 international license]"),
+    ("CC-BY-SA-4.0", "[creative commons attribution sharealike 4 0 international license]"),
+    ("CC-BY-NC-4.0", "[creative commons attribution noncommercial 4 0 international license]"),
+    ("CC-BY-ND-4.0", "licensed under [cc by nd 4 0]"),
+    ("CC-BY-NC-SA-4.0", "licensed under [cc by nc sa 4 0]"),
+    ("CC-BY-NC-ND-4.0", "licensed under [cc by nc nd 4 0]"),
+    # whole texts: every phrase must stand in its place
+    (
+        "MIT (full text)",
+        "[permission is hereby granted free of charge to any person obtaining a copy] of this software and associated documentation files the software [to deal in the software without restriction] including without limitation the rights to"
+        " use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions [the above copyright notice and this permission"
+        " notice shall be included] in all copies or substantial portions of the software [the software is provided as is without warranty of any kind]",
+    ),
+    (
+        "ISC (full text)",
+        "[permission to use copy modify and or distribute this software] for any purpose with or without fee is hereby granted provided that [the above copyright notice and this permission notice appear in all copies] the software is provided"
+        " as is and [the author disclaims all warranties with regard to this software]",
+    ),
+    (
+        "BSD-2-Clause (full text)",
+        "[redistribution and use in source and binary forms] with or without modification are permitted provided that the following conditions are met 1 [redistributions of source code must retain the above copyright notice] this list of"
+        " conditions and the following disclaimer 2 [redistributions in binary form must reproduce the above copyright notice] this list of conditions and the following disclaimer in the documentation and or other materials provided with the"
+        " distribution [this software is provided by the copyright holders and contributors]",
+    ),
+    (
+        "BSD-3-Clause (full text)",
+        "[redistribution and use in source and binary forms] with or without modification are permitted provided that the following conditions are met 1 [redistributions of source code must retain the above copyright notice] this list of"
+        " conditions and the following disclaimer 2 [redistributions in binary form must reproduce the above copyright notice] this list of conditions and the following disclaimer in the documentation and or other materials provided with the"
+        " distribution 3 [neither the name of the copyright holder nor the names of its contributors] may be used to endorse or promote products",
+    ),
+    (
+        "Zlib (full text)",
+        "[this software is provided as is without any express or implied warranty] in no event will the authors be held liable for any damages arising from the use of this software [permission is granted to anyone to use this software for any"
+        " purpose] including commercial applications and to alter it and redistribute it freely",
+    ),
+    (
+        "Unlicense (full text)",
+        "this is [free and unencumbered software released into the public domain] [anyone is free to copy modify publish use compile sell or distribute this software] either in source code form or as a compiled binary for any purpose"
+        " commercial or non commercial and by any means",
+    ),
 ]
 
 
@@ -155,7 +206,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 at, name, first = zip(*rows)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(name), pa.array(first, pa.int64())], ["doc_id", "license", "first_word"])
 
-    return lowered(docs, "doc_id").mapInArrow(run, "doc_id long, license string, first_word long")
+    return lowered(with_ids(docs), "doc_id").mapInArrow(run, "doc_id long, license string, first_word long")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,16 +215,22 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     single = [(name, " ".join(p[0][1])) for name, t in TEMPLATES if len(p := parse(t)) == 1]
-    double = [(name, p[0][1], p[1][1], p[1][0] - p[0][0] - len(p[0][1])) for name, t in TEMPLATES if len(p := parse(t)) == 2]
     values = ", ".join(f"('{n}', ' {p} ')" for n, p in single)
-    parts = [rf"SELECT doc_id, name, strpos(s, p) AS pos, s FROM d, (VALUES {values}) v(name, p) WHERE contains(s, p)"]
-    for name, a, b, gap in double:
-        rx = f" {' '.join(a)}" + r"( [^ ]+)" + f"{{{gap}}} {' '.join(b)} "
-        parts.append(f"SELECT doc_id, '{name}', strpos(s, regexp_extract(s, '{rx}')), s FROM d WHERE regexp_matches(s, '{rx}')")
+    parts = [rf"SELECT doc_id, text_row, name, strpos(s, p) AS pos, s FROM d, (VALUES {values}) v(name, p) WHERE contains(s, p)"]
+    for name, t in TEMPLATES:
+        phrases = parse(t)
+        if len(phrases) > 1:
+            rx, at = "", phrases[0][0]
+            for start, words in phrases:
+                gap = start - at
+                rx += (r"( [^ ]+)" + f"{{{gap}}}" if gap else "") + f" {' '.join(words)}"
+                at = start + len(words)
+            rx += " "
+            parts.append(f"SELECT doc_id, text_row, '{name}', strpos(s, regexp_extract(s, '{rx}')), s FROM d WHERE regexp_matches(s, '{rx}')")
     return rf"""
-WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+'), ' ') || ' ' AS s FROM documents WHERE text IS NOT NULL),
+WITH d AS (SELECT doc_id, row_number() OVER () AS text_row, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+'), ' ') || ' ' AS s FROM documents WHERE text IS NOT NULL),
 h AS ({" UNION ALL ".join(parts)})
-SELECT doc_id, name AS license, CAST(min(pos - 1 - length(replace(substr(s, 1, pos - 1), ' ', ''))) AS BIGINT) AS first_word FROM h GROUP BY 1, 2
+SELECT doc_id, name AS license, CAST(min(pos - 1 - length(replace(substr(s, 1, pos - 1), ' ', ''))) AS BIGINT) AS first_word FROM h GROUP BY doc_id, name, text_row
 """
 
 
