@@ -11,19 +11,18 @@ from graphloom.storage import materialize
 def closure(edges: DataFrame, seeds: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
     """All pairs (repo_name, src, dst) joined by a path of one edge or more of ``edges`` (repo_name, src, dst); only from ``seeds`` (repo_name, src) if given.
 
-    Semi-naive: each round extends only the pairs found in the last one, drops those already
-    known, and is written to the shared folder, so neither plans nor lost executors grow the
-    work. A node on a cycle reaches itself.
+    From seeds each round extends the pairs found in the last one by a step. Without seeds paths
+    double: the last round's pairs are joined to all that are known, so there are as many
+    rounds as the longest path has binary digits. Known pairs are dropped, and each round is
+    written to the shared folder, so neither plans nor lost executors grow the work. A node on
+    a cycle reaches itself.
     """
-    steps = edges.select("repo_name", F.col("src").alias("mid"), F.col("dst").alias("far")).distinct()
-    steps = materialize(steps, "steps")
-    first = steps.select("repo_name", F.col("mid").alias("src"), F.col("far").alias("dst"))
-    if seeds is not None:
-        first = first.join(seeds.select("repo_name", "src").distinct(), ["repo_name", "src"], "left_semi")
-    fresh = materialize(first, "reach")
+    steps = materialize(edges.select("repo_name", "src", "dst").distinct(), "steps")
+    fresh = steps if seeds is None else materialize(steps.join(seeds.select("repo_name", "src").distinct(), ["repo_name", "src"], "left_semi"), "reach")
     found = fresh
     for _ in range(max_rounds):
-        more = fresh.join(steps.withColumnRenamed("mid", "dst"), ["repo_name", "dst"]).select("repo_name", "src", F.col("far").alias("dst")).distinct()
+        further = (found if seeds is None else steps).select("repo_name", F.col("src").alias("mid"), F.col("dst").alias("far"))
+        more = fresh.withColumnRenamed("dst", "mid").join(further, ["repo_name", "mid"]).select("repo_name", "src", F.col("far").alias("dst")).distinct()
         fresh = materialize(more.join(found, ["repo_name", "src", "dst"], "left_anti"), "reach")
         if fresh.isEmpty():
             return found

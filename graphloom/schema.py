@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: table -> (columns, key columns). Node tables first.
@@ -47,10 +48,11 @@ EDGES: dict[str, tuple[str, tuple[str, ...]]] = {
     "reviewed_by": ("iid bigint, repo_name string, dst_label string, dst_key string, approved boolean, created_at timestamp", ("iid", "repo_name", "dst_label", "dst_key")),
     "has_merge_request": ("repo_name string, iid bigint", ("repo_name", "iid")),
 }
-#: Extracted but not part of the graph proper: kept beside it.
+#: Extracted but not part of the graph proper: kept beside it. ``pending_parent`` has the parent relations that a stream has met before their commits.
 DETAILS: dict[str, tuple[str, tuple[str, ...]]] = {
     "mr_note": ("iid bigint, repo_name string, pos bigint, author_username string, author_name string, body string, created_at timestamp, is_system boolean, noteable_type string", ("iid", "repo_name", "pos")),
     "mr_diff": ("iid bigint, repo_name string, new_path string, old_path string, new_file boolean, renamed_file boolean, deleted_file boolean", ("iid", "repo_name", "new_path")),
+    "pending_parent": ("parent string, child string", ("parent", "child")),
 }
 TABLES = NODES | EDGES | DETAILS
 #: Columns that rows are sorted by inside files, so that Parquet's minima and maxima prune lookups.
@@ -85,12 +87,29 @@ def violations(df: DataFrame, table: str) -> DataFrame:
     return df.groupBy(*TABLES[table][1]).count().where("count > 1")
 
 
+def unsorted(df: DataFrame, column: str) -> DataFrame:
+    """Rows of a stored table that come, in their file, before a row of the same repository that they should follow by ``column``."""
+    place = Window.partitionBy("file").orderBy("row")  # a file is of bounded size
+    repo = F.col("repo_name") if "repo_name" in df.columns else F.lit(None)
+    rows = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), repo.alias("repo"), F.col(column).alias("value"))
+    before = rows.select("*", F.lag("repo").over(place).alias("repo0"), F.lag("value").over(place).alias("value0"))
+    return before.where("repo <=> repo0 AND (value < value0 OR value IS NULL AND value0 IS NOT NULL)")
+
+
+def _is_sorted(graph, table: str, column: str) -> bool:
+    if table not in graph or column not in graph[table].columns:
+        return False
+    try:
+        return unsorted(graph[table], column).isEmpty()
+    except AnalysisException:  # not read from files
+        return False
+
+
 def verify(graph) -> dict[str, bool]:
-    """For each uniqueness rule and sort order, whether the stored graph has it: the table is there and its key is unique, or it is there with the sorted column."""
+    """For each uniqueness rule and sort order, whether the stored graph has it: the table is there and its key is unique, or every file of it is sorted by the column inside each repository."""
     out = {}
     for table in NODES:
         out[f"unique:{table}"] = table in graph and violations(graph[table], table).isEmpty()
     for table, column in SORTED.items():
-        out[f"sorted:{table}.{column}"] = table in graph and column in graph[table].columns
-    out["sorted:merge_request.created_at"] = "merge_request" in graph and "created_at" in graph["merge_request"].columns
+        out[f"sorted:{table}.{column}"] = _is_sorted(graph, table, column)
     return out

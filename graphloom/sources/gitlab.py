@@ -8,6 +8,7 @@ lines) into the tables that ingestion takes, with DataFrame operations only.
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.error
 import urllib.parse
@@ -65,33 +66,78 @@ class Client:
         self.base = f"{normalize_url(address)}/api/v4/projects/{urllib.parse.quote(str(project), safe='')}"
         self.token, self.opener = token, opener or urllib.request.urlopen
 
-    def get(self, path: str, **params) -> tuple[object, dict]:
-        """Decoded JSON and headers."""
+    def url(self, path: str, **params) -> str:
         query = urllib.parse.urlencode({k: v for k, v in params.items() if v is not None})
-        request = urllib.request.Request(f"{self.base}/{path}" + (f"?{query}" if query else ""), headers={"PRIVATE-TOKEN": self.token})
+        return f"{self.base}/{path}" + (f"?{query}" if query else "")
+
+    def fetch(self, url: str) -> tuple[object, dict]:
+        """Decoded JSON and headers with lower-case names."""
+        request = urllib.request.Request(url, headers={"PRIVATE-TOKEN": self.token})
 
         def call():
             with self.opener(request, timeout=60) as answer:
-                return json.loads(answer.read()), dict(answer.headers)
+                return json.loads(answer.read()), {k.lower(): v for k, v in dict(answer.headers).items()}
 
         return with_retry(call)
 
-    def pages(self, path: str, **params) -> int:
-        _, headers = self.get(path, per_page=PAGE, page=1, **params)
-        return int({k.lower(): v for k, v in headers.items()}.get("x-total-pages") or 1)
+    def get(self, path: str, **params) -> tuple[object, dict]:
+        return self.fetch(self.url(path, **params))
+
+    def following(self, url: str, rows: list, headers: dict) -> str | None:
+        """The next page's address, None after the last one. The service tells by a link, by the next page's number or by how many there are; where it tells nothing, a page that isn't full is the last."""
+        links = dict(reversed(x) for x in re.findall(r'<([^>]*)>;\s*rel="?(\w+)"?', headers.get("link", "")))
+        if "next" in links:
+            if urllib.parse.urlsplit(links["next"])[:2] != urllib.parse.urlsplit(self.base)[:2]:
+                raise ValueError("the next page is on another host")  # the token doesn't go there
+            return links["next"]
+        parts = urllib.parse.urlsplit(url)
+        query = dict(urllib.parse.parse_qsl(parts.query))
+        page = int(query.get("page", 1))
+        if "x-next-page" in headers:
+            page = int(headers["x-next-page"] or 0)
+        elif headers.get("x-total-pages"):
+            page = page + 1 if page < int(headers["x-total-pages"]) else 0
+        else:
+            page = page + 1 if len(rows) >= PAGE and "link" not in headers else 0
+        return urllib.parse.urlunsplit(parts._replace(query=urllib.parse.urlencode(query | {"page": page}))) if page else None
+
+    def walk(self, path: str, **params) -> Iterator[tuple[str, list]]:
+        """(address, entries) of each page of a listing, to its end."""
+        url = self.url(path, per_page=PAGE, page=1, **params)
+        while url:
+            rows, headers = self.fetch(url)
+            yield url, rows
+            url = self.following(url, rows, headers)
+
+    def every(self, path: str, **params) -> list:
+        """All entries of a listing; none if it isn't there."""
+        try:
+            return [row for _, rows in self.walk(path, **params) for row in rows]
+        except urllib.error.HTTPError as e:
+            if e.code == 404:
+                return []
+            raise
 
     def merge_request(self, iid: int) -> dict:
         """One merge request with its commits, discussions, approvals and changes; a missing part is empty."""
         mr = dict(self.get(f"merge_requests/{iid}")[0])
-        mr["commits"] = self.optional(f"merge_requests/{iid}/commits", [])
-        mr["discussions"] = self.optional(f"merge_requests/{iid}/discussions", [])
+        mr["commits"] = self.every(f"merge_requests/{iid}/commits")
+        mr["discussions"] = self.every(f"merge_requests/{iid}/discussions")
         approvals = self.optional(f"merge_requests/{iid}/approvals", {})
         mr["approved_by"] = approvals.get("approved_by") or []
         rules = self.optional(f"merge_requests/{iid}/approval_state", {}).get("rules") or []
         mr["eligible_approvers"] = (approvals.get("suggested_approvers") or []) + [u for r in rules for u in r.get("eligible_approvers") or r.get("users") or []]
-        mr["changes"] = self.optional(f"merge_requests/{iid}/changes", {}).get("changes") or []
+        found = self.optional(f"merge_requests/{iid}/changes", {})
+        if found.get("overflow"):  # cut short: ask for all of it
+            found = self.optional(f"merge_requests/{iid}/changes?access_raw_diffs=true", found)
+        mr["changes"] = found.get("changes") or []
         return mr
 
+    def head(self, branch: str | None) -> str | None:
+        """The commit a branch points to, so that its listing doesn't move while it is read; the name itself if there is no such branch."""
+        found = branch and self.optional(f"repository/branches/{urllib.parse.quote(branch, safe='')}", None)
+        return (found or {}).get("commit", {}).get("id") or branch
+
     def optional(self, path: str, default):
         try:
             return self.get(path)[0]
@@ -108,8 +154,10 @@ class Client:
 
 
 class _Page(InputPartition):
-    def __init__(self, page: int):
-        self.page = page
+    """A page by address, the position of its first entry, and how many of its entries are wanted (None: all)."""
+
+    def __init__(self, url: str, first: int, take: int | None):
+        self.url, self.first, self.take = url, first, take
 
 
 _TABLES = {"merge_requests": "value string", "commits": "pos bigint, value string", "files": "path string, content binary"}
@@ -117,7 +165,12 @@ _PATHS = {"merge_requests": "merge_requests", "commits": "repository/commits", "
 
 
 class PagesReader(DataSourceReader):
-    """A task for each page of the listing; it fetches what belongs to the page's entries."""
+    """A task for each page of the listing; it fetches what belongs to the page's entries.
+
+    The driver walks the listing only where it must: to find its end if the service doesn't
+    tell the number of pages, or to stop at the cursor or the greatest number of commits.
+    Nothing of what lies behind is fetched.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.options = dict(options)
@@ -130,23 +183,41 @@ class PagesReader(DataSourceReader):
     def _params(self) -> dict:
         o = self.options
         if self.table == "commits":
-            return {"ref_name": o.get("branch")}
+            return {"ref_name": self._client().head(o.get("branch"))}
         if self.table == "files":
             return {"ref": o.get("branch"), "recursive": "true"}
         order = o.get("order_by", "updated_at")
         return {"state": o.get("state"), "updated_after": o.get("updated_after"), "target_branch": o.get("target_branch"), "order_by": order if order in ("created_at", "updated_at") else "updated_at", "sort": "desc"}
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(k) for k in range(1, self._client().pages(_PATHS[self.table], **self._params()) + 1)]
+        client, path, params = self._client(), _PATHS[self.table], self._params()
+        since, most = self.options.get("since"), self.options.get("max_count")
+        most = int(most) if most is not None else None
+        if since is None and most is None:
+            total = client.get(path, per_page=PAGE, page=1, **params)[1].get("x-total-pages")
+            if total:
+                return [_Page(client.url(path, per_page=PAGE, page=k, **params), (k - 1) * PAGE, None) for k in range(1, int(total) + 1)]
+        out: list[InputPartition] = []
+        seen = 0
+        for url, rows in client.walk(path, **params):
+            stop = next((k for k, row in enumerate(rows) if since and str(row.get("id", "")).startswith(since)), None)
+            take = len(rows) if stop is None else stop
+            take = take if most is None else min(take, most - seen)
+            if take:
+                out.append(_Page(url, seen, take))
+            seen += take
+            if stop is not None or seen == most:
+                break
+        return out or [_Page("", 0, 0)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
         client = self._client()
-        rows = client.get(_PATHS[self.table], per_page=PAGE, page=partition.page, **self._params())[0]
-        for k, row in enumerate(rows):
+        rows = client.fetch(partition.url)[0] if partition.url else []
+        for k, row in enumerate(rows[: partition.take]):
             if self.table == "merge_requests":
                 yield (json.dumps(client.merge_request(row["iid"])),)
             elif self.table == "commits":
-                yield (partition.page - 1) * PAGE + k, json.dumps({**row, "diffs": client.optional(f"repository/commits/{row['id']}/diff", [])})
+                yield partition.first + k, json.dumps({**row, "diffs": client.every(f"repository/commits/{row['id']}/diff")})
             elif row.get("type") == "blob":
                 text = client.file_content(row["path"], self.options.get("branch") or "HEAD")
                 if text is not None:
@@ -154,7 +225,7 @@ class PagesReader(DataSourceReader):
 
 
 class PagesSource(DataSource):
-    """Options: url, projectId, token, table (merge_requests, commits or files), branch, and for merge requests the filters state, updated_after, target_branch, order_by, which the service applies."""
+    """Options: url, projectId, token, table (merge_requests, commits or files), branch, for commits since (the cursor: a hash) and max_count, and for merge requests the filters state, updated_after, target_branch, order_by, which the service applies."""
 
     @classmethod
     def name(cls) -> str:
@@ -183,7 +254,7 @@ def read(spark: SparkSession, address: str, project: int | str, token: str, tabl
 
 def branches(client: Client, default: str | None = None) -> list[tuple[str, bool, str]]:
     """(name, is_default, head) sorted by name; the default is the service's own unless one is asked for."""
-    found = [b for page in range(1, client.pages("repository/branches") + 1) for b in client.get("repository/branches", per_page=PAGE, page=page)[0]]
+    found = client.every("repository/branches")
     return sorted((b["name"], b["name"] == default if default else bool(b.get("default")), b["commit"]["id"]) for b in found)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from graphloom.graph import load, save
 from graphloom.operators import ingest
+from graphloom.storage import materialize
 
 COMMIT_RECORD = (
     "repo_name string, pos bigint, hash string, short_hash string, message string, author struct<name:string,email:string>, committer struct<name:string,email:string>, timestamp timestamp, parent_hashes array<string>,"
@@ -21,15 +22,16 @@ COMMIT_RECORD = (
 
 
 def stream_commits(spark: SparkSession, landing: str, root: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
-    """Merge all landed commit records that the checkpoint hasn't seen, then stop. Edges whose other end arrives later are made when it does: parents that weren't there are looked up again from the landed records."""
+    """Merge all landed commit records that the checkpoint hasn't seen, then stop. Only the batch is read: parents that aren't there yet wait in ``pending_parent`` until they are."""
 
     def merge(batch: DataFrame, _: int) -> None:
         graph = load(spark, root)
-        commits, changes, _parents = ingest.flatten_commits(batch)
-        # PARENT_OF over all landed records: a batch may bring the parent of an older child
-        every = spark.read.schema(COMMIT_RECORD).parquet(landing)
-        parents = every.select("hash", F.explode("parent_hashes").alias("parent"))
-        save(ingest.ingest_commits(graph, commits, changes.withColumnRenamed("pos", "commit_pos"), parents), root)
+        records = materialize(batch, "batch")
+        commits, changes, parents = ingest.flatten_commits(records)
+        waiting = parents.select(F.col("hash").alias("child"), "parent").unionByName(graph["pending_parent"]).distinct()
+        merged = ingest.ingest_commits(graph, commits, changes.withColumnRenamed("pos", "commit_pos"), waiting.select(F.col("child").alias("hash"), "parent"))
+        left = waiting.join(merged["parent_of"], ["parent", "child"], "left_anti")
+        save(merged.with_tables(pending_parent=left), root)
 
     source = spark.readStream.schema(COMMIT_RECORD).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

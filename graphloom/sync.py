@@ -33,15 +33,19 @@ def update_sync_state(graph: Graph, repo_name: str, last_commit_hash: str | None
 def ingest_local_commits(graph: Graph, path: str, repo_name: str, branch: str | None = None, since: str | None = None, max_count: int | None = None) -> tuple[Graph, int]:
     """Commits of a clone merged into ``graph``, and their number."""
     spark = graph.spark
-    records = git.load(spark, path, "commits", branch=branch, since=since, maxCount=max_count, repoName=repo_name)
+    # the history is read once; every table is made of what was written
+    records = materialize(git.load(spark, path, "commits", branch=branch, since=since, maxCount=max_count, repoName=repo_name), "commit-records")
     commits, changes, parents = ingest.flatten_commits(records)
-    n = len(git.revisions(path, branch, since, max_count))
-    return ingest.ingest_commits(graph, commits, changes.withColumnRenamed("pos", "commit_pos"), parents), n
+    return ingest.ingest_commits(graph, commits, changes.withColumnRenamed("pos", "commit_pos"), parents), records.count()
 
 
 def ingest_local_code(graph: Graph, path: str, cfg: Config) -> Graph:
     files = code.read_directory(graph.spark, path)
-    records = code.parse_files(files, cfg.repo_name, cfg.parsing.languages, cfg.parsing.ignore_patterns, cfg.parsing.strict)
+    return _ingest_code(graph, files, cfg)
+
+
+def _ingest_code(graph: Graph, files: DataFrame, cfg: Config) -> Graph:
+    records = materialize(code.parse_files(files, cfg.repo_name, cfg.parsing.languages, cfg.parsing.ignore_patterns, cfg.parsing.strict), "parsed-files")  # parsed once
     return ingest.ingest_files(graph, *ingest.flatten_files(records))
 
 
@@ -82,14 +86,12 @@ def _local(graph: Graph, cfg: Config, tip: str | None, since: str | None) -> tup
 
 def _remote(graph: Graph, cfg: Config, tip: str | None, since: str | None) -> tuple[Graph, int]:
     g, name = cfg.gitlab, cfg.repo_name
-    raw = materialize(gitlab.read(graph.spark, g.url, g.project_id, g.private_token, "commits", branch=tip), "remote-commits")
+    raw = materialize(gitlab.read(graph.spark, g.url, g.project_id, g.private_token, "commits", branch=tip, since=since, max_count=cfg.sync.max_commits), "remote-commits")
     records = materialize(gitlab.commits(raw, name, tip, since, cfg.sync.max_commits), "commit-records")
     commits, changes, parents = ingest.flatten_commits(records)
     graph = ingest.ingest_commits(graph, commits, changes.withColumnRenamed("pos", "commit_pos"), parents)
     if cfg.parsing.ast_enabled:
-        files = materialize(gitlab.read(graph.spark, g.url, g.project_id, g.private_token, "files", branch=tip), "remote-files")
-        parsed = code.parse_files(files, name, cfg.parsing.languages, cfg.parsing.ignore_patterns, cfg.parsing.strict)
-        graph = ingest.ingest_files(graph, *ingest.flatten_files(parsed))
+        graph = _ingest_code(graph, gitlab.read(graph.spark, g.url, g.project_id, g.private_token, "files", branch=tip), cfg)
     return graph, records.count()
 
 

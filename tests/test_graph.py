@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import graph as store
 from graphloom import schema
@@ -136,6 +137,56 @@ def test_schema(spark, api):
     assert all(schema.verify(g).values()) and len(g) == len(schema.TABLES)
 
 
+def test_verify_finds_faults(spark, api):
+    """A table out of order or with repeated keys isn't passed."""
+    from graphloom.storage import new_path
+
+    path = new_path(spark, "faults")
+    authors = api.graph["author"]
+    authors.orderBy("name").coalesce(1).write.parquet(f"{path}/good")
+    authors.unionAll(authors).orderBy(F.desc("name")).coalesce(1).write.parquet(f"{path}/bad")
+    good, bad = (Graph(spark, {"author": spark.read.parquet(f"{path}/{k}")}) for k in ("good", "bad"))
+    for g, want in ((good, True), (bad, False)):
+        found = schema.verify(g)
+        assert found["unique:author"] is want and found["sorted:author.name"] is want and found["unique:file"] is False
+    assert schema.verify(Graph(spark, {"author": authors.limit(3)}))["sorted:author.name"] in (True, False)
+
+
+def test_closure_doubles(spark):
+    """A path of 100 edges in eight rounds, equal to the seeded form."""
+    e = spark.createDataFrame([("r", f"n{k:03d}", f"n{k + 1:03d}") for k in range(100)], "repo_name string, src string, dst string")
+    whole = closure.closure(e, max_rounds=8)
+    assert whole.count() == 5050 and rows(whole.where("src = 'n090'")) == rows(closure.closure(e, spark.createDataFrame([("r", "n090")], "repo_name string, src string")))
+
+
+def test_snapshots_are_never_missing(spark, tmp_path):
+    """Between any two steps of a save a reader finds the old snapshot or the new one; of two writers one fails."""
+    root = f"{tmp_path}/g"
+    names = lambda g: rows(g["repository"].select("name"))
+    repo = lambda n: spark.createDataFrame([(n, "u", "main", T)], schema.TABLES["repository"][0])
+    assert len(store.load(spark, root)) == 0 and store.current_version(spark, root) is None
+    assert store.save(Graph(spark, {"repository": repo("a"), "author": schema.empty(spark, "author")}), root) == 1
+    one, other = store.load(spark, root), store.load(spark, root)
+    (tmp_path / "g/pointers/000000000002.json").write_text("")  # a writer that is not done yet
+    assert names(store.load(spark, root)) == [("a",)]
+    (tmp_path / "g/pointers/000000000002.json").unlink()
+    (tmp_path / "g/pointers/.000000000002.json.crc").unlink(missing_ok=True)
+    assert store.save(one.with_tables(repository=repo("b")), root) == 2
+    assert names(store.load(spark, root)) == [("b",)] and names(store.load(spark, root, 1)) == [("a",)] and names(one) == [("a",)]
+    with pytest.raises(store.ConflictError):
+        store.save(other.with_tables(repository=repo("c")), root)
+    assert names(store.load(spark, root)) == [("b",)]
+    # what didn't change isn't written again
+    assert store.load(spark, root).base.places["author"] == one.base.places["author"] != store.load(spark, root).base.places["repository"]
+    assert len(store.vacuum(spark, root, keep=1)) == 0  # the author table's folder is still in use
+    store.save(store.load(spark, root).with_tables(author=schema.empty(spark, "author")), root)
+    assert len(store.vacuum(spark, root, keep=1)) == 1 and names(store.load(spark, root)) == [("b",)]
+    for p in (tmp_path / "g/pointers").glob("*.json"):
+        p.write_text("")
+    with pytest.raises(RuntimeError, match="no complete snapshot"):
+        store.load(spark, root)
+
+
 def test_serialize():
     assert serialize({"t": T, "l": [dt.timedelta(days=1)], "d": T.date()}) == {"t": "2024-06-01T12:00:00", "l": ["1 day, 0:00:00"], "d": "2024-06-01"}
 

@@ -201,6 +201,99 @@ def test_code_limits(spark):
     assert [(r.path, r.functions[0].calls) for r in got] == [("b.py", ["g"])]
 
 
+class Paged:
+    """A small service with 230 commits, of which some have 130 changes, and a merge request of 150 commits and discussions. ``tell``: how it says that there are more pages."""
+
+    def __init__(self, tell):
+        import threading
+        from http.server import BaseHTTPRequestHandler, HTTPServer
+        from urllib.parse import parse_qs, urlsplit
+
+        self.seen, self.commits = [], [{"id": f"{k:040d}", "author_name": "A", "author_email": "a@x", "committed_date": "2024-06-01T12:00:00Z", "parent_ids": [], "message": "m"} for k in range(230)]
+        outer = self
+
+        class Service(BaseHTTPRequestHandler):
+            def do_GET(self):
+                url = urlsplit(self.path)
+                path, query = url.path.split("/projects/7/")[1], {k: v[0] for k, v in parse_qs(url.query).items()}
+                outer.seen.append((path, query))
+                rows = {
+                    "repository/commits": outer.commits, "merge_requests": [{"iid": 1}], "merge_requests/1/commits": [{"id": f"{k}"} for k in range(150)], "merge_requests/1/discussions": [{"notes": [{"body": f"n{k}", "created_at": "2024-06-03T00:00:00Z"}]} for k in range(150)],
+                }.get(path)
+                if path.endswith("/diff"):
+                    rows = [{"old_path": f"f{k}", "new_path": f"f{k}", "diff": "+x\n"} for k in range(130 if int(path.split("/")[2]) % 100 == 3 else 1)]
+                one = {"merge_requests/1": {"iid": 1, "title": "t"}, "merge_requests/1/changes": {"changes": [{"new_path": "a"}], "overflow": True}}.get(path)
+                if path == "merge_requests/1/changes" and "access_raw_diffs" in query:
+                    one = {"changes": [{"new_path": "a"}, {"new_path": "b"}]}
+                self.send_response(200 if rows is not None or one else 404)
+                if rows is not None:
+                    size, page = int(query.get("per_page", 20)), int(query.get("page", 1))
+                    more = page * size < len(rows)
+                    if tell == "next":
+                        self.send_header("X-Next-Page", str(page + 1) if more else "")
+                    if tell == "link":
+                        self.send_header("Link", f'<http://127.0.0.1:{outer.port}{url.path}?per_page={size}&page={page + 1}>; rel="next", <http://x/>; rel="first"' if more else '<http://x/>; rel="first"')
+                    if tell == "total":
+                        self.send_header("X-Total-Pages", str(-(-len(rows) // size)))
+                    one = rows[(page - 1) * size : page * size]
+                self.end_headers()
+                self.wfile.write(json.dumps(one).encode())
+
+            def log_message(self, *a):
+                pass
+
+        self.server = HTTPServer(("127.0.0.1", 0), Service)
+        self.port = self.server.server_port
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+    def read(self, spark, table, **options):
+        self.seen.clear()
+        return gitlab.read(spark, f"http://127.0.0.1:{self.port}/", 7, "t", table, **options).collect()
+
+
+@pytest.mark.parametrize("tell", ["next", "link", "total", "nothing"])
+def test_every_page_is_read(spark, tell):
+    service = Paged(tell)
+    try:
+        got = sorted((r.pos, json.loads(r.value)) for r in service.read(spark, "commits"))
+        assert [p for p, _ in got] == list(range(230)) and [c["id"] for _, c in got] == [c["id"] for c in service.commits]
+        assert [len(c["diffs"]) for _, c in got] == [130 if k % 100 == 3 else 1 for k in range(230)]
+        mr = json.loads(service.read(spark, "merge_requests")[0].value)
+        assert [c["id"] for c in mr["commits"]] == [str(k) for k in range(150)] and len(mr["discussions"]) == 150 and [c["new_path"] for c in mr["changes"]] == ["a", "b"]
+    finally:
+        service.server.shutdown()
+
+
+@pytest.mark.parametrize("tell", ["total", "nothing"])
+def test_requests_follow_the_new_commits(spark, tell):
+    """Behind the cursor, or the greatest number of commits, nothing is fetched."""
+    service = Paged(tell)
+    try:
+        for options, want in (({"since": f"{5:040d}"}, 5), ({"since": f"{120:040d}"}, 120), ({"max_count": 7}, 7), ({"since": f"{0:040d}"}, 0), ({"since": "x" * 40}, 230)):
+            assert sorted(r.pos for r in service.read(spark, "commits", **options)) == list(range(want)), options
+            diffs = {p for p, _ in service.seen if p.endswith("/diff")}
+            assert len(diffs) == want and len(service.seen) <= 2 * want + 14
+    finally:
+        service.server.shutdown()
+
+
+def test_no_token_for_another_host():
+    client = gitlab.Client("http://here", 7, "t")
+    with pytest.raises(ValueError, match="another host"):
+        client.following("http://here/api?page=1", [], {"link": '<http://there/api?page=2>; rel="next"'})
+
+
+def test_local_sources_are_read_once(spark, repo):
+    """No table of a load goes back to the clone: history and parsed files were written first."""
+    path, h = repo
+    g, n = sync.ingest_local_commits(Graph(spark), path, "r", "main")
+    g = sync.ingest_local_code(g, path, config.Config(repository={"path": path, "name": "r"}))
+    assert n == 4 and g["function"].count() == 3
+    for table in g:
+        plan = g[table]._jdf.queryExecution().toString()
+        assert "Scan git" not in plan and "binaryFile" not in plan and "MapIn" not in plan and "Python" not in plan, table
+
+
 def test_remote_load_and_update(spark, tmp_path):
     """Everything from a service: a small one on this machine, with two pages of commits."""
     import base64
