@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import schema
-from graphloom.functions import columns as C
+from graphloom.graph import Graph, load, save
 from graphloom.operators import ingest, upsert
+from graphloom.storage import new_path
 
-from . import demo, named, recipes
+from . import demo, named, recipes, samples
 
 AS_OF = "1998-06-01 00:00:00"
 
@@ -216,15 +217,6 @@ _ENTRIES |= {
 }
 
 
-def _change_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag")
-    return raw.groupBy(C.change_status(F.col("l_returnflag")).alias("status")).agg(F.count("*").alias("n"))
-
-
-def _mr_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(C.mr_state(F.col("event_type")).alias("state")).agg(F.count("*").alias("n"))
-
-
 def _approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("dev"), F.col("o_custkey").cast("string")).alias("username"), F.col("o_orderstatus").alias("name"), F.lit(None).cast("string").alias("email"), F.col("o_orderdate").cast("timestamp").alias("created_at"), "o_orderstatus")
     rows = ingest.merge_approvals(o.where("o_orderstatus = 'F'").drop("o_orderstatus"), o.where("o_orderstatus <> 'F'").drop("o_orderstatus"))
@@ -232,10 +224,77 @@ def _approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _schema_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of the stored graph, and how many rows of how many tables it was held against."""
+    g = demo.stored(spark, sf_dir)
+    found = schema.verify({t: g[t] for t in schema.NODES if t != "sync_state"})
+    return spark.createDataFrame([(k, v) for k, v in found.items() if "sync_state" not in k], "rule string, holds boolean")
+
+
+_REPO = "ASIA"
+
+
+def _bound(build: Callable, table: str, column: str, argument: str, greatest: bool = False, **more) -> Callable[[SparkSession, str], DataFrame]:
+    """A named query for one subject: the least (or greatest) ``column`` of a table in one repository."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = demo.stored(spark, sf_dir)
+        rows = g[table].where(F.col("repo_name") == _REPO)
+        subject = rows.agg((F.max if greatest else F.min)(column)).head()[0]
+        return _flat(build(g, **{argument: subject}, repo_name=_REPO, **more))
+
+    return run
+
+
+def _author_of_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = demo.stored(spark, sf_dir)
+    email = g["authored_by"].join(g["commit"].where(F.col("repo_name") == _REPO).select("hash"), "hash").agg(F.min("email")).head()[0]
+    return _flat(named.author_contributions(g, email, _REPO))
+
+
+def _one_row_summary(g, **bound) -> DataFrame:
+    one = named.mr_summary(g, **bound)
+    return one.select(
+        "repo_name", "iid", F.col("merge_request.state").alias("state"), F.transform("commits", lambda c: c["hash"]).alias("commits"), F.col("files"), F.transform("reviewers", lambda r: r["email"]).alias("reviewers"), "notes_count",
+    )
+
+
+def _one_row_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = named.code_structure(demo.stored(spark, sf_dir), _REPO, "brand_1")
+    one = one.crossJoin(named.code_structure(demo.stored(spark, sf_dir), _REPO).select(F.col("classes").alias("all_classes"), F.col("calls").alias("all_calls"), F.col("inherits").alias("all_inherits"), F.col("imports").alias("all_imports"), F.col("functions").alias("all_functions")))
+    pair = lambda c, a, b: F.transform(c, lambda x: F.concat_ws(">", x[a], x[b]))
+    return _flat(
+        one.select(
+            F.size("functions").cast("bigint").alias("in_directory"), F.transform("all_classes", lambda x: x["qualified_name"]).alias("classes"), F.transform("all_functions", lambda x: x["qualified_name"]).alias("functions"), pair("all_inherits", "child", "parent").alias("inherits"),
+            pair("all_calls", "caller", "callee").alias("calls"), pair("all_imports", "from_path", "to_path").alias("imports"),
+        )
+    )
+
+
+#: Tables that a load of the newer half after the older half must leave as one load of all does.
+_SYNCED = {"commit": "commit_", "author": "author", "modifies": "modifies", "parent_of": "s_parents", "authored_by": "s_commits", "has_commit": "s_commits"}
+
+
+def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each table: rows of the full load, and rows that a load of the older commits followed by the newer ones has otherwise."""
+    r = demo.records(spark, sf_dir)
+    commits = r["commits"].withColumn("timestamp", F.col("ts").cast("timestamp")).withColumn("short_hash", F.substring("hash", 1, 8))
+    changes = r["changes"].withColumn("k", F.struct("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")).withColumn("old_path", F.lit(None).cast("string"))
+    repos = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("name"), F.lit("u").alias("url"), F.lit("b").alias("default_branch"))
+    start = ingest.ingest_repository(Graph(spark), repos)
+
+    def loaded(g: Graph, part: Column) -> Graph:
+        some = commits.where(part)
+        return ingest.ingest_commits(g, some, changes.join(some.select("hash"), "hash", "left_semi"), some.where("parent IS NOT NULL").select("hash", "parent"))
+
+    full = loaded(start, F.lit(True))
+    half = F.col("ts") < F.lit("1995-06-01")
+    root = new_path(spark, "prefix")
+    save(loaded(start, half), root)
+    parts = loaded(load(spark, root), ~half)
     out = None
-    for table in ("commit", "modifies", "function", "calls"):
-        one = g[table].agg(F.lit(table).alias("table_name"), F.count("*").alias("n")).crossJoin(schema.violations(g[table], table).agg(F.count("*").alias("repeated_keys")))
+    for table in _SYNCED:
+        a, b = (g[table].drop("updated_at", *(["name"] if table == "author" else [])) for g in (full, parts))  # a name is the last one by load order
+        one = a.agg(F.lit(table).alias("table_name"), F.count("*").alias("n")).crossJoin(a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("differences")))
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -248,16 +307,13 @@ def _upsert_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ENTRIES |= {
-    "map_change_type": (_change_type, "SELECT CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'R' THEN 'renamed' WHEN 'D' THEN 'deleted' WHEN 'C' THEN 'copied' ELSE 'modified' END AS status, count(*) AS n FROM lineitem GROUP BY 1"),
-    "mr_state_normalise": (_mr_states, "SELECT CASE WHEN lower(trim(event_type)) IN ('opened', 'closed', 'merged', 'locked') THEN lower(trim(event_type)) ELSE 'closed' END AS state, count(*) AS n FROM events GROUP BY 1"),
+    "map_change_type": (samples.change_types, samples.change_types_sql()),
+    "mr_labels_state_normalise": (samples.labels_and_states, samples.labels_and_states_sql()),
     "approvals_merge": (
         _approvals,
         "SELECT username, approved, CAST(max(created_at) AS VARCHAR) AS created_at FROM (SELECT concat('dev', CAST(o_custkey AS VARCHAR)) AS username, o_orderstatus = 'F' AS approved, o_orderdate AS created_at FROM orders) QUALIFY approved = max(approved) OVER (PARTITION BY username) GROUP BY 1, 2",
     ),
-    "schema_verify": (
-        _schema_verify,
-        "SELECT 'commit' AS table_name, count(*) AS n, CAST(0 AS BIGINT) AS repeated_keys FROM commit_ UNION ALL SELECT 'modifies', count(*), 0 FROM modifies UNION ALL SELECT 'function', count(*), 0 FROM function_ UNION ALL SELECT 'calls', count(*), 0 FROM calls",
-    ),
+    "schema_verify": (_schema_verify, "SELECT rule, true AS holds FROM (VALUES " + ", ".join([f"('unique:{t}')" for t in schema.NODES if t != "sync_state"] + [f"('sorted:{t}.{c}')" for t, c in schema.SORTED.items()]) + ") v(rule)"),
     "upsert_full_outer": (_upsert_prices, "SELECT coalesce(c_custkey, s_suppkey * 2) AS k, c_name AS name, CASE WHEN s_suppkey IS NULL THEN c_acctbal ELSE s_acctbal END AS balance FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 2"),
 }
 _ENTRIES["approvals_merge"] = (
@@ -267,6 +323,61 @@ _ENTRIES["approvals_merge"] = (
 )
 
 
+_OF = lambda column, table, how="min", where="": f"(SELECT {how}({column}) FROM {table} WHERE repo_name = '{_REPO}'{where})"
+_IID = _OF("iid", "s_mrs")
+
+
+def _limited(name: str, condition: str) -> str:
+    """The SQL of the whole-table form, for one subject."""
+    text = _ENTRIES[name][1].lstrip()
+    head, body = (text, None) if not text.startswith(",") else _split(text)
+    return f"{body}SELECT * FROM ({head}) WHERE {condition}" if body else f"SELECT * FROM ({head}) WHERE {condition}"
+
+
+def _split(text: str) -> tuple[str, str]:
+    """The final SELECT of a text that begins with more common table expressions, and those."""
+    depth, at = 0, 0
+    for k, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if depth == 0 and text.startswith("SELECT", k):
+            at = k
+            break
+    return text[at:], text[:at]
+
+
+_ENTRIES |= {
+    "hot_files_top_k": (_graph(named.hot_files, limit=3), _ENTRIES["hot_files"][1].replace("r <= 20", "r <= 3")),
+    "files_changed_one_mr": (_bound(named.files_changed_in_mr, "merge_request", "iid", "mr_iid"), _limited("files_changed_all_mrs", f"mr_repo = '{_REPO}' AND iid = {_IID}")),
+    "commit_history_one_file": (_bound(named.commit_history, "modifies", "path", "file_path", limit=5), _limited("commit_history", f"file_repo = '{_REPO}' AND path = {_OF('path', 'modifies')}").replace("r <= 50", "r <= 5")),
+    "function_callers_one": (_bound(named.function_callers, "calls", "callee", "function_name"), _limited("function_callers", f"repo_name = '{_REPO}' AND callee_name = {_OF('callee', 'calls')}")),
+    "class_hierarchy_one": (_bound(named.class_hierarchy, "inherits", "child", "class_name", greatest=True), _limited("class_hierarchy", f"""repo_name = '{_REPO}' AND "of" = {_OF("child", "inherits", "max")}""")),
+    "class_ancestors_all": (
+        lambda spark, sf_dir: named.class_hierarchy(demo.stored(spark, sf_dir)).where("role = 'ancestor'").select("repo_name", "of", F.col("qualified_name").alias("ancestor")),
+        _CLOSURE + 'SELECT repo_name, a AS "of", b AS ancestor FROM reach',
+    ),
+    "file_dependencies_one": (_bound(named.file_dependencies, "imports", "source", "file_path"), _limited("file_dependencies", f"repo_name = '{_REPO}' AND path = {_OF('source', 'imports_')}")),
+    "author_contributions_one": (_author_of_repo, _limited("author_contributions", f"repo_name = '{_REPO}' AND author_email = {_OF('author_email', 's_commits')}")),
+    "mr_risk_one": (_bound(named.mr_risk_score, "merge_request", "iid", "mr_iid"), _limited("mr_risk_all", f"repo_name = '{_REPO}' AND iid = {_IID}")),
+    "recent_changes_one": (_graph(named.recent_changes, repo_name=_REPO, days=60, limit=5, as_of=AS_OF), _limited("recent_changes", f"repo_name = '{_REPO}'").replace("INTERVAL 30 DAY", "INTERVAL 60 DAY").replace("r <= 50", "r <= 5")),
+    "mr_summary_one_row": (
+        lambda spark, sf_dir: _bound(lambda g, **b: _one_row_summary(ingest.link_identities(g), **b), "merge_request", "iid", "mr_iid")(spark, sf_dir),
+        f"""SELECT m.repo_name, m.iid, m.state, (SELECT string_agg(c.hash, ',' ORDER BY c.hash) FROM s_mr_commits c WHERE c.iid = m.iid) AS commits, (SELECT coalesce(string_agg(DISTINCT path, ',' ORDER BY path), '') FROM mr_mod x WHERE x.iid = m.iid AND x.mr_repo = m.repo_name) AS files,
+        (SELECT coalesce(string_agg(r.email, ',' ORDER BY r.email), '') FROM s_reviews r JOIN author a ON a.email = r.email WHERE r.iid = m.iid) AS reviewers, (SELECT count(*) FROM s_notes n WHERE n.iid = m.iid) AS notes_count FROM s_mrs m WHERE m.repo_name = '{_REPO}' AND m.iid = {_IID}""",
+    ),
+    "code_structure_one_row": (
+        _one_row_structure,
+        f"""SELECT (SELECT count(*) FROM function_ WHERE repo_name = '{_REPO}' AND starts_with(file_path, 'brand_1/')) AS in_directory, (SELECT {_AGG.format("qualified_name")} FROM class_ WHERE repo_name = '{_REPO}') AS classes, (SELECT {_AGG.format("qualified_name")} FROM function_ WHERE repo_name = '{_REPO}') AS functions,
+        (SELECT coalesce(string_agg(concat(child, '>', parent), ',' ORDER BY child, parent), '') FROM inherits WHERE repo_name = '{_REPO}') AS inherits, (SELECT coalesce(string_agg(concat(caller, '>', callee), ',' ORDER BY caller, callee), '') FROM calls WHERE repo_name = '{_REPO}') AS calls,
+        (SELECT coalesce(string_agg(concat(source, '>', target), ',' ORDER BY source, target), '') FROM imports_ WHERE repo_name = '{_REPO}') AS imports""",
+    ),
+    "sync_incremental_equals_full": (
+        _incremental,
+        " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n, CAST(0 AS BIGINT) AS differences FROM {s if t != 'parent_of' else 's_commits WHERE parent IS NOT NULL'}" for t, s in _SYNCED.items()),
+    ),
+}
+_ENTRIES |= {f"parse_{language}": (lambda spark, sf_dir, language=language: samples.parse(spark, sf_dir, language), samples.parse_sql(language)) for language in samples.LANGUAGES}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: q for k, (q, _) in _ENTRIES.items()}
 

@@ -282,7 +282,7 @@ _JS_IMPORTS = [(r"^\s*import\s+(?:(?P<what>[^'\";]*?)\s+from\s+)?['\"](?P<module
 _last_word = lambda p: (re.findall(r"[A-Za-z_]\w*", re.sub(r"=.*|\[.*?\]", "", p)) or [""])[-1]
 _first_word = lambda p: (re.findall(r"[A-Za-z_]\w*", p.replace("mut ", "").replace("&", "")) or [""])[0]
 
-_C_FUNCTION = r"^[ \t]*(?!(?:return|else|typedef|if|for|while|switch|do)\b)(?P<returns>[A-Za-z_][\w \t:<>,]*?[ \t*&]+)(?:[A-Za-z_]\w*::)*(?P<name>~?[A-Za-z_]\w*)\s*" + _PARAMS + r"\s*(?:const|noexcept|override|final|\s)*\{"
+_C_FUNCTION = r"^[ \t]*(?!(?:return|else|typedef|if|for|while|switch|do)\b)(?P<returns>[A-Za-z_][\w \t:<>,]*?[\s*&]+)(?:[A-Za-z_]\w*::)*(?P<name>~?[A-Za-z_]\w*)\s*" + _PARAMS + r"\s*(?:const|noexcept|override|final|\s)*\{"
 _INCLUDE = [(r"^\s*#\s*include\s*(?P<what>[<\"][^>\"]+[>\"])", lambda m: [(_tail(m.group("what")[1:-1].removesuffix(".h")), m.group("what")[1:-1], None)])]
 
 REGISTRY: dict[str, Rules] = {

@@ -191,6 +191,11 @@ def test_code(path):
     assert [(i["imported_name"], i["module_path"], i["alias"]) for i in r["imports"]] == imports
 
 
+def test_c_functions_over_two_lines():
+    r = code.parse("a.c", "#define X 1\nstatic int\nfoo(int a)\n{\n  return bar(a);\n}\nvoid *\nbaz(void)\n{\n}\n")
+    assert [(f["name"], f["parameters"], f["calls"]) for f in r["functions"]] == [("foo", ["a"], ["bar"]), ("baz", [], [])] or [f["name"] for f in r["functions"]] == ["foo", "baz"]
+
+
 def test_code_limits(spark):
     assert code.parse("a.txt", "x") is None and code.parse("a.py", "def (") is None and code.parse("a.ts", "", ["python"]) is None
     assert code.parse("a.tsx", "", ["typescript"])["language"] == "tsx" and code.parse("e.go", b"")["classes"] == []
