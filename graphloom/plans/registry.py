@@ -349,7 +349,7 @@ _ENTRIES |= {
     "hot_files_top_k": (_graph(named.hot_files, limit=3), _ENTRIES["hot_files"][1].replace("r <= 20", "r <= 3")),
     "files_changed_one_mr": (_bound(named.files_changed_in_mr, "merge_request", "iid", "mr_iid"), _limited("files_changed_all_mrs", f"mr_repo = '{_REPO}' AND iid = {_IID}")),
     "commit_history_one_file": (_bound(named.commit_history, "modifies", "path", "file_path", limit=5), _limited("commit_history", f"file_repo = '{_REPO}' AND path = {_OF('path', 'modifies')}").replace("r <= 50", "r <= 5")),
-    "function_callers_one": (_bound(named.function_callers, "calls", "callee", "function_name"), _limited("function_callers", f"repo_name = '{_REPO}' AND callee_name = {_OF('callee', 'calls')}")),
+    "function_callers_one": (_bound(named.function_callers, "calls", "callee", "function_name", greatest=True), _limited("function_callers", f"repo_name = '{_REPO}' AND callee_name = {_OF('callee', 'calls', 'max')}")),
     "class_hierarchy_one": (_bound(named.class_hierarchy, "inherits", "child", "class_name", greatest=True), _limited("class_hierarchy", f"""repo_name = '{_REPO}' AND "of" = {_OF("child", "inherits", "max")}""")),
     "class_ancestors_all": (
         lambda spark, sf_dir: named.class_hierarchy(demo.stored(spark, sf_dir)).where("role = 'ancestor'").select("repo_name", "of", F.col("qualified_name").alias("ancestor")),
