@@ -171,7 +171,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """``docs`` without the documents that contain a benchmark item."""
     gone = _contaminated(docs, benchmark, threshold).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id"), F.col("d1").alias("gone_d1"))
     gone = hinted(materialize(gone.distinct(), "gone"))
-    return docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_d1")), "left_anti").select(*docs.columns)
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_d1"]), "left_anti").select(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,7 +244,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row for each text: the one with the least doc_id. Rows whose text or doc_id is null stay."""
     gone = hinted(materialize(_duplicates(docs).select(F.col("doc_id").alias("gone_id"), F.col("d1").alias("gone_d1"), F.col("d2").alias("gone_d2")).distinct(), "gone"))
     d1, d2 = digest()
-    kept = docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (d1 == F.col("gone_d1")) & (d2 == F.col("gone_d2")), "left_anti")
+    kept = docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (d1 == gone["gone_d1"]) & (d2 == gone["gone_d2"]), "left_anti")
     # rows repeated under one id: only those ids are shuffled
     twice = materialize(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():

@@ -262,7 +262,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hot: int
     """``docs`` with one document of each group of near duplicates, the one with the least doc_id."""
     gone = materialize(_near(docs, threshold, hot).where("doc_id <> keep_id").select(F.col("doc_id").alias("gone_id"), F.col("d1").alias("gone_d1")).distinct(), "gone")
     gone = hinted(gone)
-    return docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_d1")), "left_anti").select(*docs.columns)
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_d1"]), "left_anti").select(*docs.columns)
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
