@@ -47,6 +47,20 @@ def test_entry_without_llm(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
 
 
+def test_entry_with_a_broken_subpackage(tmp_path):
+    """A fault inside the subpackage isn't taken for its absence."""
+    import shutil
+
+    shutil.copytree(ROOT / "graphloom", tmp_path / "graphloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "graphloom/llm").mkdir()
+    (tmp_path / "graphloom/llm/__init__.py").write_text("")
+    (tmp_path / "graphloom/llm/queries.py").write_text("import no_such_module\n")
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    assert done.returncode and "no_such_module" in done.stderr
+
+
 def test_flagship(spark):
     if not Path(SF).exists():
         pytest.skip("no test tables")
