@@ -219,7 +219,7 @@ def test_toxicity_rare_neighbours(spark):
     """A neighbour in less than 1/5000 of its seed's joint occurrences takes part."""
     r = np.random.RandomState(13)
     rows = [" ".join([*r.choice(WORDS, 5), "vile", *r.choice(WORDS, 5), "the", *r.choice(WORDS, 5)]) for _ in range(8000)]
-    rows += ["scum vile"] * 14 + [" ".join(r.choice(WORDS, 1000)) for _ in range(400)]
+    rows += [f"{a} scum vile {b}" for a, b in r.choice(WORDS, (14, 2))] + [" ".join(r.choice(WORDS, 1000)) for _ in range(400)]
     got = {x.w: x.polarity for x in toxicity.induce(spark.createDataFrame([(t,) for t in rows], "t string"), (hashes("vile"), hashes("the"))).collect()}
     assert got[int(hashes("scum").view(np.int64)[0])] > 0
 
@@ -239,7 +239,7 @@ def test_toxicity_many_induced(spark, size):
     """Words near toxic seeds are found however many there are, and the seeds stay as polar."""
     r = np.random.RandomState(15)
     held = [f"insult{i}" for i in range(size)]
-    rows = [f"{w} vile scum rotten" for w in held for _ in range(12)]
+    rows = [f"{a} {w} vile scum rotten {b}" for w in held for a, b in r.choice(WORDS, (12, 2))]
     rows += [" ".join(w for x in r.choice(WORDS, 900) for w in (x, "the")[: 1 + (x < "f")]) for _ in range(2 * size)]
     got = {x.w: x.polarity for x in toxicity.induce(spark.createDataFrame([(t,) for t in rows], "t string"), (hashes("vile", "scum", "rotten"), hashes("the"))).collect()}
     assert min(got.get(int(w), 0) for w in hashes(*held, "vile", "scum", "rotten").view(np.int64)) >= toxicity.LEXICON
