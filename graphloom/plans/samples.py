@@ -54,22 +54,30 @@ LANGUAGES: dict[str, tuple[str, str, list[tuple[str, str, str, str]]]] = {
 }
 
 
+FILES_PER_TASK, MOST_TASKS = 5000, 10_000
+
+
 def parse(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     """(path, kind, name, list, other) of all symbols in one file for each part."""
     ending, source, _ = LANGUAGES[language]
     key = F.col("p_partkey").cast("string")
     before, *rest = source.split("{k}")
     text = F.concat(F.lit(before), *[x for piece in rest for x in (key, F.lit(piece))])
-    files = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("src/d"), key, F.lit(f".{ending}")).alias("path"), text.cast("binary").alias("content"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    # the table is a few MB, which Spark reads in one task or two: as many as the files are worth
+    parts = parts.repartition(min(MOST_TASKS, parts.count() // FILES_PER_TASK + 1), "p_partkey")
+    files = parts.select(F.concat(F.lit("src/d"), key, F.lit(f".{ending}")).alias("path"), text.cast("binary").alias("content"))
     r = code.parse_files(files, "r")
     joined = lambda c: F.array_join(c, ",")
-    classes = r.select("path", F.explode("classes").alias("c"))
-    methods = classes.select("path", F.explode("c.methods").alias("f"))
-    functions = r.select("path", F.explode("functions").alias("f"))
-    as_rows = lambda df, kind: df.select("path", F.lit(kind).alias("kind"), F.col("f.qualified_name").alias("name"), joined("f.parameters").alias("list"), joined("f.calls").alias("other"))
-    imports = r.select("path", F.explode("imports").alias("i")).select("path", F.lit("import").alias("kind"), F.col("i.imported_name").alias("name"), F.coalesce("i.alias", F.lit("")).alias("list"), F.col("i.module_path").alias("other"))
-    out = classes.select("path", F.lit("class").alias("kind"), F.col("c.qualified_name").alias("name"), joined("c.bases").alias("list"), F.lit("").alias("other"))
-    return out.unionByName(as_rows(methods, "method")).unionByName(as_rows(functions, "function")).unionByName(imports)
+    none = F.lit("")
+    row = lambda kind, name, items, other: F.struct(F.lit(kind).alias("kind"), name.alias("name"), items.alias("list"), other.alias("other"))
+    as_row = lambda kind: lambda f: row(kind, f["qualified_name"], joined(f["parameters"]), joined(f["calls"]))
+    # all kinds in one list: as a union of four frames each file would be parsed four times
+    found = F.concat(
+        F.transform("classes", lambda c: row("class", c["qualified_name"], joined(c["bases"]), none)), F.transform(F.flatten(F.transform("classes", lambda c: c["methods"])), as_row("method")), F.transform("functions", as_row("function")),
+        F.transform("imports", lambda i: row("import", i["imported_name"], F.coalesce(i["alias"], none), i["module_path"])),
+    )
+    return r.select("path", F.explode(found).alias("x")).select("path", "x.*")
 
 
 def parse_sql(language: str) -> str:
