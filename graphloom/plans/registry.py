@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -259,16 +261,34 @@ def _one_row_summary(g, **bound) -> DataFrame:
     )
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch of texts as one text, with its place: partition and batch."""
+    part = TaskContext.get().partitionId()
+    for k, batch in enumerate(batches):
+        found = [x for x in batch.column(0).to_pylist() if x is not None]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([k], pa.int64()), pa.array([",".join(found)], pa.string())], names=["part", "k", "text"])
+
+
+def _one_row_of_texts(lists: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """One row with a comma-joined text for each name: the rows of its frame in the order of the columns, each as those columns joined by ``>``.
+
+    Rows are sorted and joined by all tasks; the last one only puts the pieces in a row, which must fit into its memory.
+    """
+    pieces = None
+    for name, (rows, order) in lists.items():
+        one = rows.orderBy(*order).select(F.concat_ws(">", *order) if len(order) > 1 else F.col(order[0])).mapInArrow(_chunks, "part bigint, k bigint, text string").withColumn("name", F.lit(name))
+        pieces = one if pieces is None else pieces.unionByName(one)
+    whole = lambda name: F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.when(F.col("name") == name, F.struct("part", "k", "text")))), lambda x: x["text"]))
+    return pieces.agg(*[whole(name).alias(name) for name in lists])
+
+
 def _one_row_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = named.code_structure(demo.graph(spark, sf_dir), _REPO, "brand_1")
-    one = one.crossJoin(named.code_structure(demo.graph(spark, sf_dir), _REPO).select(F.col("classes").alias("all_classes"), F.col("calls").alias("all_calls"), F.col("inherits").alias("all_inherits"), F.col("imports").alias("all_imports"), F.col("functions").alias("all_functions")))
-    pair = lambda c, a, b: F.transform(c, lambda x: F.concat_ws(">", x[a], x[b]))
-    return _flat(
-        one.select(
-            F.size("functions").cast("bigint").alias("in_directory"), F.transform("all_classes", lambda x: x["qualified_name"]).alias("classes"), F.transform("all_functions", lambda x: x["qualified_name"]).alias("functions"), pair("all_inherits", "child", "parent").alias("inherits"),
-            pair("all_calls", "caller", "callee").alias("calls"), pair("all_imports", "from_path", "to_path").alias("imports"),
-        )
-    )
+    g = demo.graph(spark, sf_dir)
+    lists = {"classes": ("qualified_name",), "functions": ("qualified_name",), "inherits": ("child", "parent"), "calls": ("caller", "callee"), "imports": ("from_path", "to_path")}
+    texts = _one_row_of_texts({name: (getattr(named, f"code_structure_{name}")(g, _REPO), list(order)) for name, order in lists.items()})
+    inside = named.code_structure_functions(g, _REPO, "brand_1").agg(F.count("*").alias("in_directory"))
+    return texts.crossJoin(F.broadcast(inside)).select("in_directory", *lists)  # the count goes to the texts
 
 
 #: Tables that a load of the newer half after the older half must leave as one load of all does.

@@ -43,3 +43,15 @@ def test_faults_in_a_forked_process_are_told(monkeypatch):
         list(code._parse_some([("a.py", b"")], None, False))
     with pytest.raises(RuntimeError, match="without a result"):
         list(code._parse_some([("gone.py", b"")], None, False))
+
+
+def test_one_row_of_texts_is_joined_by_all_tasks(spark):
+    """Sorted over several partitions and batches, without nulls, and nothing of it passes through the driver."""
+    from graphloom.plans import registry
+
+    df = spark.range(25000).select(F.format_string("n%05d", F.col("id")).alias("a"), F.lit("x").alias("b")).repartition(7)
+    nothing = df.where("a = 'no'").select("a")
+    out = registry._one_row_of_texts({"pairs": (df, ["a", "b"]), "one": (df.where("a < 'n00003'").select("a").unionAll(spark.createDataFrame([(None,), ("",)], "a string")), ["a"]), "none": (nothing, ["a"])})
+    row = out.head()
+    assert row.pairs == ",".join(f"n{k:05d}>x" for k in range(25000)) and row.one == ",n00000,n00001,n00002" and row.none == ""
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
