@@ -79,3 +79,14 @@ def test_order_of_files_is_checked_across_batches_and_splits(spark, tmp_path, ro
     batch = lambda row, values: pa.RecordBatch.from_pylist([{"file": "f", "row": row + k, "repo": "r", "value": v} for k, v in enumerate(values)])
     given = [[(r["row"], r["end"]) for b in schema._runs(iter(x)) for r in b.to_pylist()] for x in ([batch(0, "ab"), batch(2, "ca")], [batch(9, "a"), batch(4, "b")])]
     assert given == [[(0, "first"), (3, "bad"), (3, "last")], [(9, "first"), (9, "last"), (4, "first"), (4, "last")]]
+
+
+def test_differences_in_one_pass(spark):
+    """As two EXCEPT ALL count them, with nulls and repeated rows, each side read once."""
+    from graphloom.plans import registry
+
+    a = spark.createDataFrame([("x", 1), ("x", 1), ("y", None), ("z", 3)], "k string, v int")
+    b = spark.createDataFrame([(1, "x"), (None, "y"), (None, "y"), (4, "z")], "v int, k string")
+    one = registry._differences(a, b)
+    assert tuple(one.head()) == (4, 4) and plan(one).count("LogicalRDD") == 2
+    assert tuple(registry._differences(a, a).head()) == (4, 0) and tuple(registry._differences(a.where("v > 9"), a.where("v > 9")).head()) == (0, 0)
