@@ -90,3 +90,18 @@ def test_differences_in_one_pass(spark):
     one = registry._differences(a, b)
     assert tuple(one.head()) == (4, 4) and plan(one).count("LogicalRDD") == 2
     assert tuple(registry._differences(a, a).head()) == (4, 0) and tuple(registry._differences(a.where("v > 9"), a.where("v > 9")).head()) == (0, 0)
+
+
+def test_few_commits_are_sent_to_the_edges(spark):
+    """The edges of one merge request, and of the newest commits, are found without a shuffle of all edges."""
+    from graphloom import schema
+    from graphloom.graph import Graph
+    from graphloom.plans import named
+
+    # as large as Spark takes what it can't tell the size of
+    edges = spark.range(100).mapInArrow(lambda it: it, "id long").select(*[(F.concat(F.lit("x"), "id") if f == "hash string" else F.lit("1")).cast(f.split()[1]).alias(f.split()[0]) for f in schema.EDGES["modifies"][0].split(", ")])
+    held = spark.range(5).mapInArrow(lambda it: it, "id long").select(F.col("id").alias("iid"), F.lit("r").alias("repo_name"), F.concat(F.lit("x"), "id").alias("hash"))
+    g = Graph(spark, {"modifies": edges, "contains_commit": held, "merge_request": schema.conform(held, "merge_request")})
+    one = named._mr_modifies(g, 2, "r")
+    assert one.count() == 1 and "BroadcastHashJoin" in one._jdf.queryExecution().executedPlan().toString()
+    assert named._mr_modifies(g, None, None).count() == 5
